@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from kinelake.session import map_arrow
+
 CHUNK_ROWS = 200_000
 
 
@@ -71,7 +73,7 @@ def map_groups(
             else:
                 yield from out.to_batches()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return map_arrow(df.repartition(*keys).sortWithinPartitions(*keys, *order), run, schema)
 
 
 def starts_of(*keys: np.ndarray) -> np.ndarray:

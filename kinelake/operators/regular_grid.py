@@ -30,10 +30,10 @@ from kinelake.sources.tables import observation_time
 @dataclass(frozen=True)
 class GridParams:
     slot_s: float = 0.5
-    rank: int = 3
-    rounds: int = 4
-    ridge: float = 0.05  #: in cells, on both factors
-    tie: float = 4.0  #: weight of the neighbouring time factors, in cells
+    rank: int = 8  #: at most half the slots of the window in use
+    rounds: int = 8
+    ridge: float = 0.01  #: in cells, on both factors
+    tie: float = 1.0  #: weight of the neighbouring time factors, in cells
     window: int = 256  #: slots in a matrix
     stripe: int = 64  #: sources in a matrix
     min_cells: int = 3  #: observed slots of a source in the window below which nothing is filled
@@ -43,15 +43,16 @@ def _als(m: np.ndarray, seen: np.ndarray, p: GridParams) -> np.ndarray:
     """Completed matrix; m has zeros where not seen (rows are centred and scaled)."""
     rows, cols = m.shape
     w = seen.astype(float)
+    rank = min(p.rank, max(1, cols // 2))
     t = np.linspace(-1, 1, cols)
-    v = np.stack([t**k for k in range(1, p.rank + 1)], 1)  # deterministic start: smooth time factors
-    eye = np.eye(p.rank)
-    u = np.zeros((rows, p.rank))
+    v = np.stack([t**k for k in range(1, rank + 1)], 1)  # deterministic start: smooth time factors
+    eye = np.eye(rank)
+    u = np.zeros((rows, rank))
     for _ in range(p.rounds):
         outer = (v[:, :, None] * v[:, None, :]).reshape(cols, -1)
-        u = np.linalg.solve((w @ outer).reshape(rows, p.rank, p.rank) + p.ridge * eye, ((w * m) @ v)[..., None])[..., 0]
+        u = np.linalg.solve((w @ outer).reshape(rows, rank, rank) + p.ridge * eye, ((w * m) @ v)[..., None])[..., 0]
         outer = (u[:, :, None] * u[:, None, :]).reshape(rows, -1)
-        lhs = (w.T @ outer).reshape(cols, p.rank, p.rank)
+        lhs = (w.T @ outer).reshape(cols, rank, rank)
         rhs = (w * m).T @ u
         # neighbouring factors: even and odd columns in turn, so that each step is one batch of small solves
         scale = max(float(np.mean(np.sum(u * u, 0))) / max(rows, 1), 1e-9)
@@ -94,7 +95,7 @@ def _matrix(table: pa.Table, p: GridParams) -> pa.Table:
         val[0, r, c], val[1, r, c] = x[b:e][obs], y[b:e][obs]
         known = np.isfinite(val[0]) & np.isfinite(val[1])
         filled = val.copy()
-        support = inside & ~known & (known.sum(1) >= p.min_cells)[:, None] & (cols > p.rank)
+        support = inside & ~known & (known.sum(1) >= p.min_cells)[:, None]
         if support.any():
             w = np.concatenate([known, known])
             m = np.where(w, np.concatenate([val[0], val[1]]), 0.0)
