@@ -86,3 +86,9 @@ def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "left", li
     spread = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = big.withColumn("__salt", F.pmod(F.xxhash64(*[c for c in big.columns if c != key][:4]), F.lit(salts)).cast("int"))
     return salted.join(spread, [key, "__salt"], how).drop("__salt")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give an input of few file splits at least two partitions per core, for work that is heavy per row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
