@@ -10,6 +10,7 @@ from kinelake.llm.mixing import mix_sources
 from kinelake.llm.names import link_venues
 from kinelake.llm.nearest import detections_to_tracks
 from kinelake.llm.quantiles import percentiles, sketch_columns
+from kinelake.llm.subjects import document_subjects, fit_subjects
 from kinelake.llm.tokenizer import encode_texts
 from kinelake.sources.tables import table
 
@@ -67,6 +68,20 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return document_subjects(documents, fit_subjects(table(spark, d, "subject_examples"), documents, table(spark, d, "subject_areas")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Make-up of the corpus: documents and summed shares per subject."""
+    return _subjects(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("share").alias("share_sum"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -78,6 +93,8 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_composition": p10_composition,
 }
 
 _GROUPS = """
