@@ -259,25 +259,21 @@ def _dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def cosine_pairs(embeddings: DataFrame, gate: float = 0.35) -> DataFrame:
+def cosine_pairs(embeddings: DataFrame, gate: float = 0.65, block: int = 2000) -> DataFrame:
     """Pairs with 1 - cos at most ``gate``, exactly.
 
-    Angles form a metric: two vectors within the gate differ by at most its
-    angle in their angle to any pivot, so an equi-join on pivot-angle buckets
-    of that width (and the next) loses no pair.
+    No index prunes such wide gates without losing pairs, so the vectors are
+    hashed to blocks of about ``block`` and every pair of blocks is one group
+    of bounded size; the work is spread evenly over all of them.
     """
-    import math
-
-    theta = math.acos(1 - gate)
-    e = embeddings.where("embedding is not null and size(embedding) > 0").select("vec_id", "embedding").withColumn("norm", F.sqrt(_dot("embedding", "embedding"))).where("norm > 0")
-    e = e.withColumns({f"p{k}": F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.get("embedding", F.lit(k)).cast("double") / F.col("norm")))) for k in (0, 1, 2)})
-    key = [F.floor(F.col(f"p{k}") / theta).cast("int") for k in (0, 1, 2)]
-    a = e.select(F.struct("vec_id", "embedding", "norm").alias("a"), *[x.alias(f"k{i}") for i, x in enumerate(key)])
-    b = e.select(F.struct("vec_id", "embedding", "norm").alias("b"), *[x.alias(f"k{i}") for i, x in enumerate(key)])
-    for i in range(3):
-        b = b.withColumn(f"k{i}", F.explode(F.array(*[F.col(f"k{i}") + d for d in (-1, 0, 1)])))
+    e = embeddings.where("vec_id is not null and embedding is not null and size(embedding) > 0").select("vec_id", "embedding").withColumn("norm", F.sqrt(_dot("embedding", "embedding"))).where("norm > 0")
+    side = max(1, -(-e.count() // block))
+    h = F.pmod(F.xxhash64("vec_id"), F.lit(side)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(side - 1))
+    a = e.select(F.struct("vec_id", "embedding", "norm").alias("a"), h.alias("i"), F.explode(every).alias("j"))
+    b = e.select(F.struct("vec_id", "embedding", "norm").alias("b"), F.explode(every).alias("i"), h.alias("j"))
     cos = _dot("a.embedding", "b.embedding") / (F.col("a.norm") * F.col("b.norm"))
-    j = a.join(b, ["k0", "k1", "k2"]).where("a.vec_id < b.vec_id").withColumn("d", 1 - cos).where(F.round("d", 9) <= gate)
+    j = a.join(b, ["i", "j"]).where("a.vec_id < b.vec_id").withColumn("d", 1 - cos).where(F.round("d", 9) <= gate)
     return j.select(F.col("a.vec_id").alias("id_a"), F.col("b.vec_id").alias("id_b"), r("d", 5).alias("distance"))
 
 

@@ -84,7 +84,7 @@ Q.on("trim_overlaps", ["t", "connect_labels"], op.trim_overlaps, f"""WITH {_PL},
     SELECT player_id, tid, {_INT} FROM (SELECT *, row_number() OVER (PARTITION BY clip, player_id, g ORDER BY first_g, tid) AS k FROM f) WHERE k > 1""")
 Q.on("cosine_pairs", "embeddings", op.cosine_pairs, """
     WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE len(embedding) > 0)
-    SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(1 - list_cosine_similarity(a.v, b.v), 5) AS distance FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE round(1 - list_cosine_similarity(a.v, b.v), 9) <= CAST(0.35 AS DOUBLE)""")
+    SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(1 - list_cosine_similarity(a.v, b.v), 5) AS distance FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE round(1 - list_cosine_similarity(a.v, b.v), 9) <= CAST(0.65 AS DOUBLE)""")
 Q.on("medoid", "embeddings", op.medoid, """
     WITH e AS (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label IS NOT NULL),
     s AS (SELECT label, i, sum(v) AS s FROM e GROUP BY label, i), d AS (SELECT label, vec_id, round(sum(v * s), 6) AS score FROM e JOIN s USING (label, i) GROUP BY label, vec_id)
