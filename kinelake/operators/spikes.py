@@ -47,6 +47,7 @@ class SpikeParams:
     min_repeats: int = 5  #: rows of zero detail that make a stretch frozen
     absence_frames: int = 25  #: a longer hole is an absence
     near_frames: int = 10  #: neighbours within this are used as they are
+    least_extent: float = 100.0  #: times the noise: the least width of a pitch
     block_frames: int = 16384
     overlap_frames: int = 2048
 
@@ -238,7 +239,8 @@ def flag_implausible(tracks: DataFrame, params: SpikeParams = SpikeParams()) ->
             one = np.flatnonzero(np.isfinite(v))
             one = one[starts_of(tid[one], block[one], frame[one])]
             frozen[one] |= _frozen(tid[one], block[one], v[one], p)
-            far |= (v > hi + (hi - lo)) | (v < lo - (hi - lo))
+            pad = np.maximum(hi - lo, p.least_extent * s["noise"])  # a camera with little presence has a narrow extent; unknown noise, no bound
+            far |= (v > hi + pad) | (v < lo - pad)
         far |= (x == 0) & (y == 0)
         k = np.flatnonzero(owned & (spike | frozen | far))
         got = pa.table({"tid": tid[k], "frame": frame[k], "spike": spike[k], "frozen": frozen[k], "impossible": far[k]})
