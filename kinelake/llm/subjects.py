@@ -5,7 +5,7 @@ Method.  Sentences are hashed to word uni- and bigrams.  One linear
 then in a few rounds also on weakly labelled sentences of a bounded sample of
 documents.  The documents carry no address paths and their section headings
 are bare numbers, so the weak label of a sentence comes from its section: the
-neighbouring sentences' scores, its own left out.  Sentences that occur among
+neighbouring sentences' scores, its own counting less.  Sentences that occur among
 all subjects thereby learn to score low everywhere.  Per-subject thresholds
 are calibrated on held-out documents of the sample.  A document gets every
 subject whose sentences make up a real share of it.
@@ -47,6 +47,7 @@ class SubjectParams:
     rate: float = 0.5
     decay: float = 1e-6
     reach: int = 4  #: sentences on each side that give a sentence its weak label
+    own: float = 0.3  #: weight of the sentence's own earlier score in it
     least_share: float = 0.15  #: of the subject-bearing text
     least_sentences: int = 3  #: of a subject, unless the text is short:
     short_share: float = 0.3  #: of all sentences of the text
@@ -216,7 +217,7 @@ def fit_subjects(examples: DataFrame, documents: DataFrame, areas: DataFrame, pa
         lead = prob / np.maximum(prob.sum(1, keepdims=True), 1e-9)
         strong = np.where(prob.max(1, keepdims=True) >= 0.25, lead**2 / (lead**2).sum(1, keepdims=True), 0.0)
         near = _context(strong, doc, p.reach)
-        known = np.nan_to_num(near)
+        known = (1 - p.own) * np.nan_to_num(near) + p.own * strong
         trust = known.max(1) * (known.sum(1) > 0.3)
         target = known / np.maximum(known.sum(1, keepdims=True), 1e-9)
         y = np.concatenate([y_show, target[~held].astype(np.float32)])

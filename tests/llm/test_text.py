@@ -102,12 +102,12 @@ def test_subjects_of_portions(spark):
     docs, truth = [], {}
     for i in range(160):
         a, b = (SPORT, LAW) if i % 2 else (LAW, SPORT)
-        text = [a[(i + k) % 5] for k in range(4)] + [FILL[(i // 2) % 2]]
+        text = [a[(i + k) % 5] for k in range(4)] + [FILL[(i // 8) % 2]]
         truth[i] = {"sport" if i % 2 else "law"}
-        if i % 4 == 0:
+        if i % 8 < 2:
             text += [b[(i + k) % 5] for k in range(4)]
             truth[i] = {"sport", "law"}
-        elif i % 4 == 1:
+        elif i % 8 < 4:
             text.insert(2, b[i % 5])  # a passing sentence
         docs.append((i, " ".join(text), 0.0))
     docs += [(1000, None, 0.0), (1001, "", 0.0), (1002, "More details tomorrow.", 0.0), (1003, SPORT[1], 0.0)]
