@@ -60,7 +60,7 @@ def _grams(c: str, q: int) -> Column:
     )
 
 
-@lru_cache(maxsize=1 << 18)
+@lru_cache(maxsize=1 << 15)
 def edit_distance(a: str, b: str) -> int:
     """Optimal string alignment distance: insert, delete, replace, swap neighbours."""
     if a == b:
@@ -83,7 +83,7 @@ def _within(short: str, long: str) -> bool:
     return all(c in it for c in short)
 
 
-@lru_cache(maxsize=1 << 19)
+@lru_cache(maxsize=1 << 16)
 def token_similarity(t: str, r: str) -> float:
     """How well the typed token t stands for the registry token r, 0 to 1."""
     if t == r:
@@ -211,16 +211,17 @@ def link_names(typed: DataFrame, registry: DataFrame, params: NameParams = NameP
     core = names.select("rid", F.when(F.size(naming) > 0, F.array_join(naming, " ")).otherwise(F.col("f")).alias("core"))
     r_grams = core.select("rid", F.explode(_grams("core", p.q)).alias("g"))
     gram_w = r_grams.groupBy("g").agg(F.log1p(F.lit(float(n_names)) / F.count(F.lit(1))).alias("w"))
-    weighted = cut(r_grams.join(gram_w, "g"))
+    weighted = r_grams.join(gram_w, "g")
     order = Window.partitionBy("rid").orderBy(F.desc("w"), "g")
-    ranked = weighted.withColumn("upto", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("w").over(Window.partitionBy("rid")))
+    ranked = cut(weighted.withColumn("upto", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("w").over(Window.partitionBy("rid"))))
     prefix = ranked.where(F.col("total") - F.col("upto") + F.col("w") >= p.overlap * F.col("total")).select("rid", "g")
     q_grams = forms.select("qid", F.explode(_grams("f", p.q)).alias("g"))
     hits = q_grams.join(prefix, "g").select("qid", "rid").distinct()
-    totals = weighted.groupBy("rid").agg(F.sum("w").alias("total"))
-    shared = hits.join(weighted, "rid").join(q_grams, ["qid", "g"]).groupBy("qid", "rid").agg(F.sum("w").alias("shared"))
-    pairs = shared.join(totals, "rid").where(F.col("shared") >= p.overlap * F.col("total")).select("qid", "rid")
-    pairs = pairs.join(forms, "qid").join(names.select("rid", "entity", F.col("f").alias("rf")), "rid").select("qid", "f", "entity", "rf")
+    # the overlap of a candidate is taken on the spot from both sides' q-grams
+    side = names.select("rid", "entity", F.col("f").alias("rf")).join(ranked.groupBy("rid").agg(F.first("total").alias("total"), F.collect_list(F.struct("g", "w")).alias("gw")), "rid")
+    shared = F.aggregate(F.filter("gw", lambda x: F.array_contains(F.col("qg"), x["g"])), F.lit(0.0), lambda acc, x: acc + x["w"])
+    found = hits.join(forms.select("qid", "f", _grams("f", p.q).alias("qg")), "qid").join(side, "rid")
+    pairs = found.where(shared >= p.overlap * F.col("total")).select("qid", "f", "entity", "rf")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
