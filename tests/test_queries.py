@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -18,7 +19,7 @@ def rows(df):
     df = df[sorted(df.columns)]
     out = []
     for r in df.itertuples(index=False):
-        out.append(tuple(None if v is None or v != v else round(float(v), 9) if isinstance(v, (int, float, np.number, np.bool_)) and not isinstance(v, str) else str(v) for v in r))
+        out.append(tuple(None if pd.isna(v) else round(float(v), 9) if isinstance(v, (int, float, np.number, np.bool_)) and not isinstance(v, str) else str(v) for v in r))
     return sorted(out, key=repr)
 
 
