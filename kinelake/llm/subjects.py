@@ -235,7 +235,7 @@ def fit_subjects(examples: DataFrame, documents: DataFrame, areas: DataFrame, pa
             right = (said & (truth == c)).sum()
             wanted = (clear & (truth == c) & (top == c)).sum()
             f = 2 * right / max(1, said.sum() + wanted)
-            if f > best[0] + 1e-9:
+            if f >= best[0] - 1e-9:  # of equally good ones the strictest
                 best = (f, th)
         thresholds[c] = best[1]
     return SubjectModel(subjects, w, bias, thresholds, p)
