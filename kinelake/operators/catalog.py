@@ -136,7 +136,7 @@ def dims_precedence(c: DataFrame) -> DataFrame:
 def field_format(c: DataFrame) -> DataFrame:
     """Nearest of three pitch formats by aspect, and the catalog size snapped to, smaller format on ties."""
     fmt = [("5v5", 40.0, 20.0), ("7v7", 55.0, 35.0), ("8v8", 68.0, 45.0)]
-    a = F.get("dims_m", F.lit(0)) / F.get("dims_m", F.lit(1))
+    a = F.try_divide(F.get("dims_m", F.lit(0)), F.get("dims_m", F.lit(1)))
     options = F.array(*[F.struct(F.round(F.abs(a - l / w), 9).alias("d"), F.lit(i).alias("i"), F.lit(n).alias("name")) for i, (n, l, w) in enumerate(fmt)])
     return c.where("camera_id is not null and size(dims_m) = 2 and dims_m[1] > 0").select("camera_id", r(a).alias("aspect"), F.array_min(options)["name"].alias("format"))
 
@@ -144,7 +144,7 @@ def field_format(c: DataFrame) -> DataFrame:
 def impossible_catalog(c: DataFrame) -> DataFrame:
     """Pitch sizes that cannot be: ratio or bounds, with reasons."""
     l, w = F.get("dims_m", F.lit(0)), F.get("dims_m", F.lit(1))
-    why = F.concat_ws(",", F.when(l < w, "turned"), F.when(l / w > 2.2, "too_long"), F.when((l < 20) | (l > 110), "length"), F.when((w < 12) | (w > 75), "width"))
+    why = F.concat_ws(",", F.when(l < w, "turned"), F.when(F.try_divide(l, w) > 2.2, "too_long"), F.when((l < 20) | (l > 110), "length"), F.when((w < 12) | (w > 75), "width"))
     return c.where("camera_id is not null and size(dims_m) = 2 and dims_m[1] > 0").select("camera_id", why.alias("reasons"), (why != "").alias("impossible"))
 
 

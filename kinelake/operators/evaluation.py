@@ -42,7 +42,7 @@ def _matched(t: DataFrame, gt: DataFrame, tracklets: DataFrame, least: float) ->
     w = F.greatest(F.lit(0.0), F.least("x1", "gx1") - F.greatest("x0", "gx0"))
     h = F.greatest(F.lit(0.0), F.least("y1", "gy1") - F.greatest("y0", "gy0"))
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) + (F.col("gx1") - F.col("gx0")) * (F.col("gy1") - F.col("gy0"))
-    j = j.withColumn("iou", F.round(w * h / (area - w * h), 6))
+    j = j.withColumn("iou", F.round(F.try_divide(w * h, area - w * h), 6))
     best = j.groupBy("clip", "slot", "tid").agg(F.max(F.struct("iou", (-F.col("det_id")).alias("neg"))).alias("b")).select("clip", "slot", "tid", F.col("b.iou").alias("iou"), (-F.col("b.neg")).alias("det_id"))
     img = g.select("clip", "slot").distinct()
     m = p.join(img, ["clip", "slot"]).join(best, ["clip", "slot", "tid"], "left")
@@ -192,7 +192,7 @@ def symmetry_jsd(t: DataFrame, bins: int = 8) -> DataFrame:
     h = _halves(t, bins)
     n = h.groupBy("cam", "b").agg(F.sum((F.col("half") == 0).cast("int")).alias("a"), F.sum((F.col("half") == 1).cast("int")).alias("c"))
     w = Window.partitionBy("cam")
-    p = n.withColumns({"p": F.col("a") / F.sum("a").over(w), "q": F.col("c") / F.sum("c").over(w)}).where("p is not null and q is not null")
+    p = n.withColumns({"p": F.try_divide("a", F.sum("a").over(w)), "q": F.try_divide("c", F.sum("c").over(w))}).where("p is not null and q is not null")
     m = (F.col("p") + F.col("q")) / 2
     kl = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log2(F.col(c) / m)).otherwise(0.0)
     return p.groupBy("cam").agg(r(F.sum((kl("p") + kl("q")) / 2), 5).alias("jsd"))
@@ -210,7 +210,7 @@ def _emd(samples: DataFrame, by: str, value: str) -> DataFrame:
     w = Window.partitionBy(by).orderBy("v")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     tot = Window.partitionBy(by)
-    d = v.withColumns({"fa": F.sum("a").over(run) / F.sum("a").over(tot), "fc": F.sum("c").over(run) / F.sum("c").over(tot), "dv": F.lead("v").over(w) - F.col("v")})
+    d = v.withColumns({"fa": F.try_divide(F.sum("a").over(run), F.sum("a").over(tot)), "fc": F.try_divide(F.sum("c").over(run), F.sum("c").over(tot)), "dv": F.lead("v").over(w) - F.col("v")})
     return d.groupBy(by).agg(r(F.sum(F.abs(F.col("fa") - F.col("fc")) * F.col("dv")), 5).alias("emd")).where("emd is not null")
 
 
@@ -267,10 +267,10 @@ def height_mode_scale(t: DataFrame, body: float = 1.75) -> DataFrame:
 
 def player_height_scale(t: DataFrame, body: float = 1.75) -> DataFrame:
     """Median height, spread and scale per camera from clean upright boxes."""
-    ratio = F.col("box_h") / F.col("box_w")
+    ratio = F.try_divide("box_h", "box_w")
     h = t.where((F.col("conf") > 0.6) & (F.col("box_h") > 50) & (ratio > 1.7) & (ratio < 5) & ~F.col("cropped")).select("cam", (F.col("box_h") * 0.02).alias("h"))
     med = h.groupBy("cam").agg(F.median("h").alias("m"))
-    return h.join(med, "cam").groupBy("cam").agg(F.count(F.lit(1)).alias("n"), r(F.first("m"), 4).alias("median_h"), r(F.median(F.abs(F.col("h") - F.col("m"))), 4).alias("mad"), r(F.stddev_pop("h") / F.avg("h"), 4).alias("cv"), r(body / F.first("m"), 4).alias("scale"))
+    return h.join(med, "cam").groupBy("cam").agg(F.count(F.lit(1)).alias("n"), r(F.first("m"), 4).alias("median_h"), r(F.median(F.abs(F.col("h") - F.col("m"))), 4).alias("mad"), r(F.try_divide(F.stddev_pop("h"), F.avg("h")), 4).alias("cv"), r(body / F.first("m"), 4).alias("scale"))
 
 
 # --- geometry fits

@@ -54,7 +54,7 @@ def infer_fps(t: DataFrame) -> DataFrame:
 
 def detections_to_rows(t: DataFrame, least_ratio: float = 1.3, frame_bottom: float = 720.0) -> DataFrame:
     """Boxes to foot points: too flat boxes dropped, cut-off feet flagged."""
-    box = t.where("box_h > 0 and box_w > 0").where(F.col("box_h") / F.col("box_w") >= least_ratio)
+    box = t.where("box_h > 0 and box_w > 0").where(F.try_divide("box_h", "box_w") >= least_ratio)
     zone = F.when(F.col("fy") < 360, "far").when(F.col("fy") < 560, "mid").otherwise("near")
     return box.select("tid", "frame", r("fx").alias("foot_x"), r("fy").alias("foot_y"), (F.col("fy") >= frame_bottom - 2).alias("bottom_cropped"), zone.alias("zone"))
 
@@ -168,7 +168,7 @@ def static_tracks(t: DataFrame, span_s: float = 4.0, spread_px: float = 5.0) ->
 
 
 def clean_upright(t: DataFrame) -> DataFrame:
-    ratio = F.col("box_h") / F.col("box_w")
+    ratio = F.try_divide("box_h", "box_w")
     return t.where((F.col("conf") > 0.6) & (F.col("box_h") > 50) & (ratio > 1.7) & (ratio < 5) & ~F.col("cropped")).groupBy("cam").agg(F.count(F.lit(1)).alias("n"), r(F.avg("box_h")).alias("mean_h"))
 
 
@@ -179,7 +179,7 @@ def tracklet_quality(t: DataFrame, least_s: float = 2.0, conf_share: float = 0.5
         F.count(F.lit(1)).alias("n"),
         (F.max("t") - F.min("t")).alias("dur"),
         F.avg((F.coalesce("conf", F.lit(0.0)) >= 0.5).cast("double")).alias("sure"),
-        (F.stddev_pop("box_h") / F.avg("box_h")).alias("cv"),
+        F.try_divide(F.stddev_pop("box_h"), F.avg("box_h")).alias("cv"),
         F.median("seg").alias("med_step"),
         F.avg((~F.col("in_pitch")).cast("double")).alias("off"),
     )
