@@ -62,8 +62,8 @@ Q.on("selection_weights", "t", op.selection_weights, """
     s AS (SELECT *, u + 0.5 * gap / greatest(max(gap) OVER (PARTITION BY clip), 1) AS s FROM g), b AS (SELECT *, min(s) OVER (PARTITION BY clip) AS lo, max(s) OVER (PARTITION BY clip) AS hi FROM s)
     SELECT clip, frame, round(CASE WHEN hi > lo THEN CAST(0.05 AS DOUBLE) + CAST(0.95 AS DOUBLE) * (s - lo) / (hi - lo) ELSE 1 END, 5) AS weight FROM b""")
 _HALF = """p AS (SELECT * FROM t WHERE x IS NOT NULL AND y IS NOT NULL),
-    e AS (SELECT cam, quantile_cont(x, 0.005) AS x0, quantile_cont(x, 0.995) AS x1, quantile_cont(y, 0.005) AS y0, quantile_cont(y, 0.995) AS y1 FROM p GROUP BY cam),
-    u AS (SELECT p.*, (x - x0) / (x1 - x0) AS u FROM p JOIN e USING (cam) WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND x1 > x0 AND y1 > y0),
+    e AS (SELECT cam, round(quantile_cont(x, 0.005), 6) AS x0, round(quantile_cont(x, 0.995), 6) AS x1, round(quantile_cont(y, 0.005), 6) AS y0, round(quantile_cont(y, 0.995), 6) AS y1 FROM p GROUP BY cam),
+    u AS (SELECT p.*, round((x - x0) / (x1 - x0), 9) AS u FROM p JOIN e USING (cam) WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND x1 > x0 AND y1 > y0),
     h AS (SELECT cam, clip, frame, tid, CASE WHEN u < 0.5 THEN 0 ELSE 1 END AS half, CAST(least(floor(CASE WHEN u < 0.5 THEN u ELSE 1 - u END * 2 * {b}), {b} - 1) AS INTEGER) AS b FROM u)"""
 _HB = "n AS (SELECT cam, b, sum(CASE WHEN half = 0 THEN 1 ELSE 0 END) AS a, sum(CASE WHEN half = 1 THEN 1 ELSE 0 END) AS c FROM h GROUP BY cam, b)"
 Q.on("symmetry_jsd", "t", op.symmetry_jsd, f"""WITH {_HALF.format(b=8)}, {_HB}, q AS (SELECT *, a / nullif(sum(a) OVER (PARTITION BY cam), 0) AS pp, c / nullif(sum(c) OVER (PARTITION BY cam), 0) AS qq FROM n)
