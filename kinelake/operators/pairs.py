@@ -4,7 +4,8 @@ Pair joins never compare all with all: they are equi-joins on the clip and a
 time bucket, with exact predicates after; buckets are as wide as the largest
 gap asked for, and one side is given to the next bucket too.  ``coarse``
 brings the sparse, uneven frames of a clip to a common clock of a few frames
-first.  Rows without a place take no part.
+first and keeps one row per track and step; ``framed`` keeps every row.  Rows
+without a place take no part.
 """
 
 from __future__ import annotations
@@ -16,11 +17,17 @@ from pyspark.sql.window import Window
 from kinelake.operators.tracks import by_frame, placed, r, tracklet_summary
 
 
+def framed(t: DataFrame, width: int = 1) -> DataFrame:
+    """Every placed row with its stretch ``g`` of ``width`` frames; a stretch of one is the frame itself."""
+    fill = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("conf", "box_h", "box_w")]
+    return placed(t).select("clip", "tid", F.floor(F.col("frame") / width).cast("int").alias("g"), "frame", "x", "y", "fx", "fy", *fill, "zone")
+
+
 def coarse(t: DataFrame, width: int = 5) -> DataFrame:
     """One row per (tid, g): the first placed row of each stretch of ``width`` frames."""
-    g = F.floor(F.col("frame") / width).cast("int")
-    rows = placed(t).groupBy("clip", "tid", g.alias("g")).agg(F.min_by(F.struct("frame", "x", "y", "fx", "fy", F.coalesce("conf", F.lit(0.0)).alias("conf"), F.coalesce("box_h", F.lit(0.0)).alias("box_h"), F.coalesce("box_w", F.lit(0.0)).alias("box_w"), "zone"), "frame").alias("o"))
-    return rows.select("clip", "tid", "g", "o.*")
+    rows = framed(t, width)
+    each = [c for c in rows.columns if c not in ("clip", "tid", "g")]
+    return rows.groupBy("clip", "tid", "g").agg(F.min_by(F.struct(*each), "frame").alias("o")).select("clip", "tid", "g", "o.*")
 
 
 def _d2(a: str = "a", b: str = "b") -> Column:

@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 
 from kinelake.functions import kernels as K
 from kinelake.functions.groups import column, map_groups
-from kinelake.operators.pairs import _players, _spans, coarse, continuation_candidates, greedy_owner, link_candidates
+from kinelake.operators.pairs import _players, _spans, coarse, continuation_candidates, framed, greedy_owner, link_candidates
 from kinelake.operators.tracks import placed
 
 
-def _by(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[dict[str, np.ndarray]], dict | None], schema: str) -> DataFrame:
-    """Run ``fn`` on the columns of each group; its dict of columns becomes rows."""
+def _by(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[dict[str, np.ndarray]], dict | None], schema: str, lone: Callable[[dict[str, np.ndarray]], dict] | None = None) -> DataFrame:
+    """Run ``fn`` on the columns of each group; its dict of columns becomes rows.
+
+    ``lone``, if given, takes all groups of a single row at once instead."""
     names = df.columns
     out_names = [p.split()[0] for p in schema.split(", ")]
 
@@ -34,14 +36,19 @@ def _by(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[dict[str
         for k in keys:
             new[1:] |= cols[k][1:] != cols[k][:-1]
         at = np.flatnonzero(new)
-        for a, b in zip(at, np.append(at[1:], t.num_rows)):
+        ends = np.append(at[1:], t.num_rows)
+        if lone is not None:
+            single = ends - at == 1
+            yield {c: v[at[single]] for c, v in cols.items()}
+            at, ends = at[~single], ends[~single]
+        for a, b in zip(at, ends):
             yield {c: v[a:b] for c, v in cols.items()}
 
     types = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
     fields = pa.schema([pa.field(p.split()[0], types[p.split()[1]]) for p in schema.split(", ")])
 
     def kernel(t: pa.Table) -> pa.Table | None:
-        parts = [o for g in groups(t) if (o := fn(g)) is not None and len(o[out_names[0]])]
+        parts = [o for k, g in enumerate(groups(t)) if (o := (lone if lone is not None and k == 0 else fn)(g)) is not None and len(o[out_names[0]])]
         if not parts:
             return None
         return pa.table([pa.array(np.concatenate([np.asarray(p[c]) for p in parts]), f.type, from_pandas=True) for c, f in zip(out_names, fields)], schema=fields)
@@ -53,37 +60,37 @@ def _clip_key(df: DataFrame) -> DataFrame:
     return df.withColumn("ck", F.xxhash64("clip")).drop("clip")
 
 
-def nms(t: DataFrame, least: float = 0.3) -> DataFrame:
-    """Greedy non-maximum suppression of boxes per coarse frame; rows kept."""
-    c = coarse(t).where("box_h > 0 and box_w > 0 and fx is not null and fy is not null")
+def nms(t: DataFrame, least: float = 0.3, clock: Callable[[DataFrame], DataFrame] = coarse) -> DataFrame:
+    """Greedy non-maximum suppression of boxes per step of the clock (``framed``: every row in its own frame); rows kept."""
+    c = clock(t).where("box_h > 0 and box_w > 0 and fx is not null and fy is not null")
 
     def fn(g: dict) -> dict:
         b = np.stack([g["fx"] - g["box_w"] / 2, g["fy"] - g["box_h"], g["fx"] + g["box_w"] / 2, g["fy"]], 1)
         keep = K.greedy_keep(g["conf"], K.iou_matrix(b) > least)
         return {"tid": g["tid"][keep], "g": g["g"][keep]}
 
-    return _by(_clip_key(c).drop("zone"), ["ck", "g"], ["tid"], fn, "tid int, g int")
+    return _by(_clip_key(c).drop("zone"), ["ck", "g"], ["tid"], fn, "tid int, g int", lambda g: {"tid": g["tid"], "g": g["g"]})
 
 
-def inframe_dedup_greedy(t: DataFrame, radius: float = 2.0) -> DataFrame:
-    """Exact keep-best duplicates per coarse frame: rows dropped."""
+def inframe_dedup_greedy(t: DataFrame, radius: float = 2.0, clock: Callable[[DataFrame], DataFrame] = coarse) -> DataFrame:
+    """Exact keep-best duplicates per step of the clock (``framed``: every row in its own frame): rows dropped."""
 
     def fn(g: dict) -> dict:
         d = np.hypot(g["x"][:, None] - g["x"][None], g["y"][:, None] - g["y"][None]) < radius
         keep = K.greedy_keep(np.round(g["conf"] * g["box_h"], 6), d)
         return {"tid": g["tid"][~keep], "g": g["g"][~keep]}
 
-    return _by(_clip_key(coarse(t)).drop("zone"), ["ck", "g"], ["tid"], fn, "tid int, g int")
+    return _by(_clip_key(clock(t)).drop("zone"), ["ck", "g"], ["tid"], fn, "tid int, g int", lambda g: {"tid": g["tid"][:0], "g": g["g"][:0]})
 
 
 def dedup_concurrency(t: DataFrame, radius: float = 1.0) -> DataFrame:
-    """99th percentile per clip of the number of groups of rows within the radius."""
+    """99th percentile per clip of the number of groups of rows of a frame within the radius."""
 
     def fn(g: dict) -> dict:
         n = K.dbscan_1(np.stack([g["x"], g["y"]], 1), radius, 1).max() + 1
         return {"ck": g["ck"][:1], "n": np.array([n])}
 
-    per = _by(_clip_key(coarse(t)).drop("zone"), ["ck", "g"], ["tid"], fn, "ck bigint, n int")
+    per = _by(_clip_key(framed(t)).drop("zone"), ["ck", "g"], ["tid"], fn, "ck bigint, n int", lambda g: {"ck": g["ck"], "n": np.ones(len(g["ck"]), int)})
     clips = t.groupBy("clip").agg(F.xxhash64("clip").alias("ck"))
     return per.groupBy("ck").agg(F.percentile("n", F.lit(0.99)).alias("p99")).join(clips, "ck").select("clip", "p99")
 
@@ -131,10 +138,9 @@ def stitch(t: DataFrame, no_link: float = 0.9, gap: float = 8.0) -> DataFrame:
 
 
 def consolidate(t: DataFrame) -> DataFrame:
-    """Duplicates dropped, then stitched over long gaps."""
-    drop = inframe_dedup_greedy(t)
-    rows = t.withColumn("g", F.floor(F.col("frame") / 5).cast("int")).join(drop, ["tid", "g"], "left_anti").drop("g")
-    return stitch(rows, gap=90.0)
+    """Duplicates of a frame dropped, then stitched over long gaps."""
+    drop = inframe_dedup_greedy(t, clock=framed).withColumnRenamed("g", "frame")
+    return stitch(t.join(drop, ["tid", "frame"], "left_anti"), gap=90.0)
 
 
 def cluster_merge(t: DataFrame, gap: float = 30.0, vmax: float = 8.0) -> DataFrame:
@@ -375,10 +381,10 @@ def tracklet_builder(t: DataFrame, reach: float = 2.0, stale: int = 3) -> DataFr
 
 
 def static_fp(t: DataFrame, radius: float = 26.0, share: float = 0.2, spread: float = 14.0) -> DataFrame:
-    """Recurrent detections at one spot: greedy spots in ascending foot_y, present in a share of the coarse frames and hardly moving."""
+    """Recurrent detections at one spot: greedy spots in ascending foot_y, present in a share of the coarse frames and hardly moving; every row counts."""
 
     def fn(g: dict) -> dict:
-        order = np.lexsort((g["tid"], g["g"], g["fx"], g["fy"]))
+        order = np.lexsort((g["tid"], g["frame"], g["fx"], g["fy"]))
         spots: list[list[int]] = []
         centre: list[tuple[float, float]] = []
         heights: list[float] = []
@@ -396,8 +402,8 @@ def static_fp(t: DataFrame, radius: float = 26.0, share: float = 0.2, spread: fl
         hit = [k for k, s in enumerate(spots) if len(np.unique(g["g"][s])) >= share * frames and g["fx"][s].std() < spread and g["fy"][s].std() < spread and frames >= 5]
         return {"ck": np.full(len(hit), g["ck"][0]), "u": np.array([centre[k][0] for k in hit]), "v": np.array([centre[k][1] for k in hit]), "n": np.array([len(spots[k]) for k in hit], int)}
 
-    c = coarse(t).where("fx is not null and fy is not null")
-    return _by(_clip_key(c).select("ck", "g", "tid", "fx", "fy"), ["ck"], ["g", "tid"], fn, "ck bigint, u double, v double, n int").drop("ck")
+    c = framed(t, 5).where("fx is not null and fy is not null")
+    return _by(_clip_key(c).select("ck", "g", "frame", "tid", "fx", "fy"), ["ck"], ["frame", "tid"], fn, "ck bigint, u double, v double, n int").drop("ck")
 
 
 def kmeans2(t: DataFrame) -> DataFrame:

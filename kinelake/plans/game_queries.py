@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from kinelake.operators import game as op
 from kinelake.operators import sequence as seq
+from kinelake.operators.pairs import framed
 from kinelake.plans.pair_queries import _C, _INT, _P, _PL
 from kinelake.plans.registry import Registry
 
@@ -51,7 +52,9 @@ Q.on("fused_tracks", ["t", "connect_labels"], op.fused_tracks, f"""WITH {_PL}, {
     SELECT clip, player_id, count(*) AS n, max(k) AS max_tracks, round(sum(CASE WHEN d <= 8 * dt THEN d ELSE 0 END), 3) AS dist FROM s GROUP BY clip, player_id""")
 
 # grouped kernels: tested against brute force on small fixtures instead of SQL
-for name in ("nms", "inframe_dedup_greedy", "dedup_concurrency", "greedy_match", "stitch", "consolidate", "cluster_merge", "gta_connect", "fuse", "gta_split", "presplit", "kinematics_smoothed", "savgol", "gsi_fill", "postprocess", "possession_viterbi", "kickoff_events", "role_timeline", "tracklet_builder", "static_fp", "kmeans2", "recall_by_zone"):
+for name in ("nms", "inframe_dedup_greedy"):  # every row in its own frame
+    Q.on(name, "t", lambda t, f=getattr(seq, name): f(t, clock=framed))
+for name in ("dedup_concurrency", "greedy_match", "stitch", "consolidate", "cluster_merge", "gta_connect", "fuse", "gta_split", "presplit", "kinematics_smoothed", "savgol", "gsi_fill", "postprocess", "possession_viterbi", "kickoff_events", "role_timeline", "tracklet_builder", "static_fp", "kmeans2", "recall_by_zone"):
     Q.on(name, "t", getattr(seq, name))
 Q.on("idf1", ["t", "connect_labels"], seq.idf1)
 Q.on("coreset_kcenter", "embeddings", seq.coreset_kcenter)
