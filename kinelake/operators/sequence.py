@@ -417,12 +417,16 @@ def kmeans2(t: DataFrame) -> DataFrame:
 
 
 def coreset_kcenter(embeddings: DataFrame, k: int = 5) -> DataFrame:
-    """Farthest-first selection of k vectors per label (labels hold bounded sets of frames)."""
-    e = embeddings.where("label is not null and size(embedding) >= 8").select(F.col("label").cast("int").alias("label"), "vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(8)])
+    """Farthest-first selection of k vectors per label from its smallest vec_id (labels hold bounded sets of frames).
+
+    All components count; the table has no weights, so all weigh the same; what a shorter vector lacks is zero."""
+    e = embeddings.where("label is not null and size(embedding) > 0")
+    dims = e.agg(F.max(F.size("embedding"))).first()[0] or 1
+    e = e.select(F.col("label").cast("int").alias("label"), "vec_id", *[F.coalesce(F.get("embedding", F.lit(i)).cast("double"), F.lit(0.0)).alias(f"e{i}") for i in range(dims)])
 
     def fn(g: dict) -> dict:
-        p = np.stack([g[f"e{i}"] for i in range(8)], 1)
-        c = K.k_centre(p, 1 + np.abs(p[:, 0]), k)
+        p = np.stack([g[f"e{i}"] for i in range(dims)], 1)
+        c = K.k_centre(p, np.ones(len(p)), k)
         return {"label": g["label"][c], "vec_id": g["vec_id"][c], "rank": np.arange(len(c))}
 
     return _by(e, ["label"], ["vec_id"], fn, "label int, vec_id bigint, rank int")

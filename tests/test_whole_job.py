@@ -27,3 +27,10 @@ def test_concurrency_counts_rows_of_one_frame(spark):
 def test_static_spots_count_every_row(spark):
     t = view(spark, [row(1, f, 10, 5) for f in range(40)])
     assert [r.n for r in sequence.static_fp(t).collect()] == [40]
+
+
+def test_coreset_sees_every_component(spark):
+    # the vectors differ in their last components only
+    rows = [(i, [0.0] * 10 + [x], 1) for i, x in enumerate([0.0, 1.0, 0.5, 9.0])]
+    e = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    assert [r.vec_id for r in sequence.coreset_kcenter(e, 3).orderBy("rank").collect()] == [0, 3, 1]
