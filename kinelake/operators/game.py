@@ -1,7 +1,7 @@
 """Per-frame game state: focus, kickoff readiness, walls, roles and fusion of views.
 
-Works on the coarse frames of a clip; the two teams are the parities of tid
-where no team is known.  Frames with fewer than two moving players have no
+Works on the coarse frames of a clip; the two teams are those of the tracklets
+where these are given, else the parities of tid.  Frames with fewer than two moving players have no
 focus.  All closed forms stay in the JVM.
 """
 
@@ -43,13 +43,18 @@ def focus_track(t: DataFrame, margin: float = 3.0) -> DataFrame:
     return j.select("clip", "g", within("px", "x0", "x1").alias("fx"), within("py", "y0", "y1").alias("fy"))
 
 
-def kickoff_readiness(t: DataFrame) -> DataFrame:
-    """Readiness 0 to 1 of a coarse frame: teams split, centred, still; and the side of the centroid."""
+def kickoff_readiness(t: DataFrame, tracklets: DataFrame | None = None) -> DataFrame:
+    """Readiness 0 to 1 of a coarse frame: teams split, centred, still; and the side of the centroid.
+
+    With ``tracklets`` the teams are theirs, and tracks of unknown team belong to neither."""
     v = velocities(t)
     mid = v.groupBy("clip").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
     left = (F.col("x") < F.col("cx")).cast("double")
-    even = F.col("tid") % 2 == 0
-    g = v.join(mid, "clip").groupBy("clip", "g").agg(F.avg(F.when(even, left)).alias("a"), F.avg(F.when(~even, left)).alias("b"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg(F.coalesce("speed", F.lit(0.0))).alias("sp"), F.first("cx").alias("cx"), F.first("cy").alias("cy"))
+    if tracklets is None:
+        v = v.withColumn("team", F.pmod("tid", F.lit(2)))
+    else:
+        v = v.join(tracklets.where("tid is not null").groupBy("tid").agg(F.max("team").alias("team")), "tid", "left")
+    g = v.join(mid, "clip").groupBy("clip", "g").agg(F.avg(F.when(F.col("team") == 0, left)).alias("a"), F.avg(F.when(F.col("team") == 1, left)).alias("b"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg(F.coalesce("speed", F.lit(0.0))).alias("sp"), F.first("cx").alias("cx"), F.first("cy").alias("cy"))
     split = F.greatest(F.col("a") * (1 - F.col("b")), (1 - F.col("a")) * F.col("b"))
     d = F.sqrt((F.col("mx") - F.col("cx")) * (F.col("mx") - F.col("cx")) + (F.col("my") - F.col("cy")) * (F.col("my") - F.col("cy")))
     return g.where("a is not null and b is not null").select("clip", "g", r(split * F.exp(-d / 10) * F.exp(-F.col("sp")), 5).alias("ready"), r(F.col("mx") - F.col("cx"), 4).alias("side"))

@@ -95,25 +95,41 @@ def dedup_concurrency(t: DataFrame, radius: float = 1.0) -> DataFrame:
     return per.groupBy("ck").agg(F.percentile("n", F.lit(0.99)).alias("p99")).join(clips, "ck").select("clip", "p99")
 
 
-def greedy_match(t: DataFrame, radius: float = 3.0) -> DataFrame:
-    """Global greedy nearest matching of even to odd tracks in a coarse frame."""
+def _observed(gt: DataFrame, tracklets: DataFrame) -> DataFrame:
+    """det_id, clip, t, px, py and image zone of each placed observation whose tracklet's clip is known; repeated ones count once."""
+    clip = tracklets.where("tid is not null and source_clip is not null").groupBy(F.col("tid").alias("tracklet_id")).agg(F.min("source_clip").alias("clip"))
+    g = gt.where("det_id is not null and t is not null and px is not null and py is not null and not isnan(t) and not isnan(px) and not isnan(py)")
+    g = g.groupBy("det_id").agg(F.min(F.struct("tracklet_id", "t", "px", "py", "y1")).alias("o")).select("det_id", "o.*").join(clip, "tracklet_id")
+    zone = F.when(F.col("y1").isNull(), "unknown").when(F.col("y1") < 360, "far").when(F.col("y1") < 560, "mid").otherwise("near")
+    return g.select("det_id", "clip", "t", "px", "py", zone.alias("zone"))
+
+
+def greedy_match(t: DataFrame, gt: DataFrame, tracklets: DataFrame, radius: float = 3.0, within: float = 0.2) -> DataFrame:
+    """Global greedy nearest matching of the second observer's detections to the tracks' rows.
+
+    A detection may match any track of its clip by the track's row nearest in
+    time (no more than ``within`` seconds away) if that lies within the
+    radius; nearest pairs first, each detection and each row once."""
+    slot = lambda c: F.floor(F.col(c) / within).cast("long")
+    g = _observed(gt, tracklets).select("clip", "det_id", F.col("t").alias("gt_t"), "px", "py", F.explode(F.array(*[slot("t") + d for d in (-1, 0, 1)])).alias("slot"))
+    p = placed(t).where("t is not null").select("clip", "tid", "frame", "t", "x", "y", slot("t").alias("slot"))
+    away = F.round(F.abs(F.col("t") - F.col("gt_t")), 6)
+    j = p.join(g, ["clip", "slot"]).withColumn("away", away).where(F.col("away") <= within)
+    near = j.groupBy("clip", "det_id", "tid").agg(F.min(F.struct("away", "frame", "x", "y", "px", "py")).alias("o")).select("clip", "det_id", "tid", "o.*")
+    dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
+    c = near.withColumn("d", F.round(F.sqrt(dx * dx + dy * dy), 6)).where(F.col("d") <= radius).select("clip", "det_id", "tid", "frame", "d")
 
     def fn(g: dict) -> dict:
-        a, b = np.flatnonzero(g["tid"] % 2 == 0), np.flatnonzero(g["tid"] % 2 == 1)
-        d = np.hypot(g["x"][a][:, None] - g["x"][b][None], g["y"][a][:, None] - g["y"][b][None])
-        out, used_a, used_b = [], set(), set()
-        for k in np.argsort(d, axis=None, kind="stable"):
-            i, j = divmod(int(k), max(1, len(b)))
-            if d[i, j] > radius:
-                break
-            if i not in used_a and j not in used_b:
-                used_a.add(i)
-                used_b.add(j)
-                out.append((i, j))
-        i, j = (np.array([o[k] for o in out], int) for k in (0, 1))
-        return {"tid_a": g["tid"][a[i]], "tid_b": g["tid"][b[j]], "g": np.full(len(out), g["g"][0]), "d": d[i, j]}
+        used_a, used_b, out = set(), set(), []
+        for k in np.lexsort((g["frame"], g["tid"], g["det_id"], g["d"])):
+            a, b = int(g["det_id"][k]), (int(g["tid"][k]), int(g["frame"][k]))
+            if a not in used_a and b not in used_b:
+                used_a.add(a)
+                used_b.add(b)
+                out.append(k)
+        return {n: g[n][out] for n in ("det_id", "tid", "frame", "d")}
 
-    return _by(_clip_key(coarse(t)).drop("zone"), ["ck", "g"], ["tid"], fn, "tid_a int, tid_b int, g int, d double")
+    return _by(_clip_key(c), ["ck"], ["det_id", "tid"], fn, "det_id bigint, tid int, frame int, d double")
 
 
 def stitch(t: DataFrame, no_link: float = 0.9, gap: float = 8.0) -> DataFrame:
@@ -318,11 +334,11 @@ def possession_viterbi(t: DataFrame) -> DataFrame:
     return got.join(t.groupBy("clip").agg(F.xxhash64("clip").alias("ck")), "ck").select("clip", "g", "owner")
 
 
-def kickoff_events(t: DataFrame) -> DataFrame:
-    """Kickoffs per clip from readiness and the side of the tracks' centroid."""
+def kickoff_events(t: DataFrame, tracklets: DataFrame) -> DataFrame:
+    """Kickoffs per clip from readiness of the tracklets' teams and the side of the tracks' centroid."""
     from kinelake.operators.game import kickoff_readiness
 
-    s = kickoff_readiness(t).withColumn("ck", F.xxhash64("clip"))
+    s = kickoff_readiness(t, tracklets).withColumn("ck", F.xxhash64("clip"))
 
     def fn(g: dict) -> dict:
         f = K.kickoff_events(g["g"] * 5, g["ready"], g["side"])
@@ -495,8 +511,7 @@ def idf1(t: DataFrame, labels: DataFrame) -> DataFrame:
     return got.join(t.groupBy("clip").agg(F.xxhash64("clip").alias("ck")), "ck").select("clip", "rows", "idf1")
 
 
-def recall_by_zone(t: DataFrame, radius: float = 3.0) -> DataFrame:
-    """Share of even tracks' rows matched to an odd track's row, per zone (greedy matching)."""
-    c = coarse(t).where("tid % 2 = 0")
-    m = greedy_match(t, radius).select(F.col("tid_a").alias("tid"), "g").withColumn("hit", F.lit(1))
-    return c.join(m, ["tid", "g"], "left").groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce("hit", F.lit(0)).cast("double")), 6).alias("recall"))
+def recall_by_zone(t: DataFrame, gt: DataFrame, tracklets: DataFrame, radius: float = 3.0) -> DataFrame:
+    """Share of the second observer's detections matched to a track's row, per image zone (greedy matching)."""
+    m = greedy_match(t, gt, tracklets, radius).select("det_id", F.lit(1).alias("hit"))
+    return _observed(gt, tracklets).join(m, "det_id", "left").groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce("hit", F.lit(0)).cast("double")), 6).alias("recall"))

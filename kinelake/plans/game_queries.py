@@ -54,8 +54,11 @@ Q.on("fused_tracks", ["t", "connect_labels"], op.fused_tracks, f"""WITH {_PL}, {
 # grouped kernels: tested against brute force on small fixtures instead of SQL
 for name in ("nms", "inframe_dedup_greedy"):  # every row in its own frame
     Q.on(name, "t", lambda t, f=getattr(seq, name): f(t, clock=framed))
-for name in ("dedup_concurrency", "greedy_match", "stitch", "consolidate", "cluster_merge", "gta_connect", "fuse", "gta_split", "presplit", "kinematics_smoothed", "savgol", "gsi_fill", "postprocess", "possession_viterbi", "kickoff_events", "role_timeline", "tracklet_builder", "static_fp", "kmeans2", "recall_by_zone"):
+for name in ("dedup_concurrency", "stitch", "consolidate", "cluster_merge", "gta_connect", "fuse", "gta_split", "presplit", "kinematics_smoothed", "savgol", "gsi_fill", "postprocess", "possession_viterbi", "role_timeline", "tracklet_builder", "static_fp", "kmeans2"):
     Q.on(name, "t", getattr(seq, name))
+for name in ("greedy_match", "recall_by_zone"):
+    Q.on(name, ["t", "gt_detections", "tracklets"], getattr(seq, name))
+Q.on("kickoff_events", ["t", "tracklets"], seq.kickoff_events)
 Q.on("idf1", ["t", "connect_labels"], seq.idf1)
 Q.on("coreset_kcenter", "embeddings", seq.coreset_kcenter)
 Q.on("global_stitch", "embeddings", seq.global_stitch)

@@ -1,6 +1,6 @@
 """Operators look at every row and every component, not at a part of them."""
 
-from kinelake.operators import sequence
+from kinelake.operators import game, sequence
 from kinelake.operators.pairs import framed
 from tests.test_sequence import row, view
 
@@ -34,3 +34,25 @@ def test_coreset_sees_every_component(spark):
     rows = [(i, [0.0] * 10 + [x], 1) for i, x in enumerate([0.0, 1.0, 0.5, 9.0])]
     e = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
     assert [r.vec_id for r in sequence.coreset_kcenter(e, 3).orderBy("rank").collect()] == [0, 3, 1]
+
+
+GT = "det_id bigint, tracklet_id int, t double, px double, py double, y1 float"
+TRACKLETS = "tid int, source_clip string, team int"
+
+
+def test_recall_matches_the_second_observer(spark):
+    t = view(spark, [row(1, 10, 5, 5), row(3, 10, 20, 20), row(5, 50, 30, 10)])
+    tl = spark.createDataFrame([(1, "a", 0), (3, "a", 0), (5, "a", None), (7, "b", 1)], TRACKLETS)
+    # 1 is near track 1, 2 nearer to the same row, 3 near an odd track too, 4 too late for track 5, 5 in another clip
+    gt = spark.createDataFrame([(1, 1, 0.4, 6.0, 5.0, 300.0), (2, 3, 0.45, 5.2, 5.0, 300.0), (3, 3, 0.4, 20.0, 21.0, 400.0), (3, 3, 0.4, 20.0, 21.0, 400.0), (4, 5, 2.5, 30.0, 10.0, 700.0), (5, 7, 0.4, 5.0, 5.0, 700.0), (6, None, 0.4, 5.0, 5.0, 700.0)], GT)
+    assert sorted((r.det_id, r.tid, r.frame, r.d) for r in sequence.greedy_match(t, gt, tl).collect()) == [(2, 1, 10, 0.2), (3, 3, 10, 1.0)]
+    assert {r.zone: (r.n, r.recall) for r in sequence.recall_by_zone(t, gt, tl).collect()} == {"far": (2, 0.5), "mid": (1, 1.0), "near": (2, 0.0)}
+
+
+def test_readiness_takes_the_teams_of_the_tracklets(spark):
+    # all tids are even; team 0 stands left, team 1 right, the unknown one on either side counts for neither
+    t = view(spark, [row(2, 0, 1, 5), row(4, 0, 2, 5), row(6, 0, 8, 5), row(8, 0, 9, 5), row(10, 0, 9, 5)])
+    tl = spark.createDataFrame([(2, "a", 0), (4, "a", 0), (6, "a", 1), (8, "a", 1), (10, "a", None)], TRACKLETS)
+    assert game.kickoff_readiness(t).count() == 0
+    (got,) = game.kickoff_readiness(t, tl).collect()
+    assert got.ready > 0.9
