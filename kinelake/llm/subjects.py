@@ -7,10 +7,12 @@ documents.  The documents carry no address paths and their section headings
 are bare numbers, so the weak label of a sentence comes from its section: the
 neighbouring sentences' scores, its own counting less.  Sentences that occur among
 all subjects thereby learn to score low everywhere.  Per-subject thresholds
-are calibrated on held-out documents of the sample.  A document gets every
-subject whose sentences make up a real share of it.
+are calibrated on all documents, from a histogram of their sentences' scores
+per subject.  A document gets every subject whose sentences make up a real
+share of it.
 
-The sample only serves to fit; every document is scored, over its whole text.
+The sample only serves to fit, and a fifth of it is kept out of the fit; every
+document is scored, over its whole text.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ INVISIBLE = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u206
 #: Runs of characters that UTF-8 bytes turn into when they are read as a Western one-byte code page.
 MISREAD = re.compile("[\u0080-\u00ff\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013\u2014\u2018-\u201a\u201c-\u201e\u2020-\u2022\u2026\u2030\u2039\u203a\u20ac\u2122]{2,}")
 WORD = re.compile(r"[^\W\d_]+")
+#: Candidate thresholds of a sentence's score.
+LEVELS = np.arange(0.3, 0.71, 0.05)
 
 
 @dataclass(frozen=True)
@@ -154,6 +158,16 @@ def _context(prob: np.ndarray, doc: np.ndarray, reach: int) -> np.ndarray:
     return np.where(count[:, None] > 0, total / np.maximum(count, 1e-9)[:, None], np.nan)
 
 
+def _weak(prob: np.ndarray, doc: np.ndarray, p: SubjectParams) -> tuple[np.ndarray, np.ndarray]:
+    """Weak label of each sentence from its neighbourhood, and how far to trust it."""
+    # sharpen towards the leading subject; sentences without any evidence stay undecided
+    lead = prob / np.maximum(prob.sum(1, keepdims=True), 1e-9)
+    strong = np.where(prob.max(1, keepdims=True) >= 0.25, lead**2 / (lead**2).sum(1, keepdims=True), 0.0)
+    near = _context(strong, doc, p.reach)
+    known = (1 - p.own) * np.nan_to_num(near) + p.own * strong
+    return known / np.maximum(known.sum(1, keepdims=True), 1e-9), known.max(1) * (known.sum(1) > 0.3)
+
+
 @dataclass
 class SubjectModel:
     subjects: list[str]
@@ -187,7 +201,7 @@ class SubjectModel:
 
 def fit_subjects(examples: DataFrame, documents: DataFrame, areas: DataFrame, params: SubjectParams = SubjectParams()) -> SubjectModel:
     """Fit on all labelled examples and on at most ``sample_docs`` documents,
-    taken in a hash order of doc_id.  Examples without subject or text, and
+    taken in a hash order of doc_id; thresholds come from all documents.  Examples without subject or text, and
     with a subject that ``areas`` lacks, are left out."""
     p = params
     subjects = sorted(r["subject"] for r in areas.select("subject").distinct().collect() if r["subject"])
@@ -212,33 +226,56 @@ def fit_subjects(examples: DataFrame, documents: DataFrame, areas: DataFrame, pa
     held = doc % 5 == 0
     both = Sparse(x_show + [r for r, h in zip(x_docs, held) if not h])
     for _ in range(p.rounds):
-        prob = inner.scores(w, bias)
-        # sharpen towards the leading subject; sentences without any evidence stay undecided
-        lead = prob / np.maximum(prob.sum(1, keepdims=True), 1e-9)
-        strong = np.where(prob.max(1, keepdims=True) >= 0.25, lead**2 / (lead**2).sum(1, keepdims=True), 0.0)
-        near = _context(strong, doc, p.reach)
-        known = (1 - p.own) * np.nan_to_num(near) + p.own * strong
-        trust = known.max(1) * (known.sum(1) > 0.3)
-        target = known / np.maximum(known.sum(1, keepdims=True), 1e-9)
+        labeller = (w, bias)
+        target, trust = _weak(inner.scores(w, bias), doc, p)
         y = np.concatenate([y_show, target[~held].astype(np.float32)])
         weight = np.concatenate([np.full(len(shown), 2.0), trust[~held]]).astype(np.float32)
         w, bias = train(both, y, weight, p)
-    prob = inner.scores(w, bias)[held]
-    # calibrate: the threshold with the best agreement with clear neighbourhoods
-    clear = trust[held] > 0.6
-    truth = target[held].argmax(1)
-    top = prob.argmax(1)
+    thresholds = calibrate(documents, labeller, (w, bias), k, p)
+    return SubjectModel(subjects, w, bias, thresholds, p)
+
+
+def calibrate(documents: DataFrame, labeller: tuple[np.ndarray, np.ndarray], model: tuple[np.ndarray, np.ndarray], k: int, p: SubjectParams) -> np.ndarray:
+    """Per subject the threshold with the best agreement with clear neighbourhoods, over all documents.
+
+    ``labeller`` gives the weak labels, ``model`` the scores to cut.  Only
+    counts per subject, level of the score and agreement leave a task."""
+    shared = documents.sparkSession.sparkContext.broadcast((labeller, model))  # bounded: 2 ** hash_bits weights per subject, twice
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, last = shared.value
+        n = np.zeros((k, len(LEVELS) + 1, 2), np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                parts = [sentences(t) for t in b.slice(at, 500).column(0).to_pylist()]
+                doc = np.repeat(np.arange(len(parts)), [len(d) for d in parts])
+                if not len(doc):
+                    continue
+                x = Sparse([features(s, p.hash_bits) for d in parts for s in d])
+                target, trust = _weak(x.scores(*first), doc, p)
+                prob = x.scores(*last)
+                top = prob.argmax(1)
+                level = np.searchsorted(LEVELS, prob[np.arange(len(top)), top], "right")
+                clear = trust > 0.6
+                np.add.at(n, (top[clear], level[clear], (target.argmax(1) == top)[clear].astype(int)), 1)
+        c, v, right = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(v, pa.int32()), pa.array(right, pa.int32()), pa.array(n[c, v, right], pa.int64())], ["subject", "level", "right", "n"])
+
+    texts = documents.where("text is not null and trim(text) <> ''").select("text")
+    hist = map_arrow(spread(texts), run, "subject int, level int, right int, n bigint").groupBy("subject", "level", "right").agg(F.sum("n").alias("n"))
+    count = np.zeros((k, len(LEVELS) + 1, 2), np.int64)
+    for r in hist.collect():  # at most 2 * (len(LEVELS) + 1) rows per subject
+        count[r["subject"], r["level"], r["right"]] = r["n"]
+    thresholds = np.full(k, 0.5)
     for c in range(k):
         best = (-1.0, 0.5)
-        for th in np.arange(0.3, 0.71, 0.05):
-            said = clear & (top == c) & (prob[:, c] >= th)
-            right = (said & (truth == c)).sum()
-            wanted = (clear & (truth == c) & (top == c)).sum()
-            f = 2 * right / max(1, said.sum() + wanted)
+        for i, th in enumerate(LEVELS):
+            said, right, wanted = count[c, i + 1 :].sum(), count[c, i + 1 :, 1].sum(), count[c, :, 1].sum()
+            f = 2 * right / max(1, said + wanted)
             if f >= best[0] - 1e-9:  # of equally good ones the strictest
                 best = (f, th)
         thresholds[c] = best[1]
-    return SubjectModel(subjects, w, bias, thresholds, p)
+    return thresholds
 
 
 def document_subjects(documents: DataFrame, model: SubjectModel) -> DataFrame:
