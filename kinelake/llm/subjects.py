@@ -55,6 +55,7 @@ class SubjectParams:
     least_share: float = 0.15  #: of the subject-bearing text
     least_sentences: int = 3  #: of a subject, unless the text is short:
     short_share: float = 0.3  #: of all sentences of the text
+    pair_share: float = 0.2  #: of its subject-bearing sentences, from which two suffice
     seed: int = 11
 
 
@@ -194,7 +195,8 @@ class SubjectModel:
                     count[best[at + i]] += 1
             at += len(d)
             share = size / size.sum() if size.sum() else size
-            keep = (share >= p.least_share) & ((count >= p.least_sentences) | (count >= p.short_share * len(d)))
+            pair = (count >= 2) & (count >= p.pair_share * count.sum())
+            keep = (share >= p.least_share) & ((count >= p.least_sentences) | (count >= p.short_share * len(d)) | pair)
             out.append({self.subjects[k]: float(share[k]) for k in np.flatnonzero(keep)})
         return out
 

@@ -20,3 +20,14 @@ def test_thresholds_come_from_all_documents(spark):
     print(sampled.thresholds, whole.thresholds)
     sport = whole.subjects.index("sport")
     assert whole.thresholds[sport] < sampled.thresholds[sport]
+
+
+def test_two_sentences_that_are_a_fifth_count(spark):
+    p = SubjectParams(hash_bits=12)
+    w = np.zeros((1 << 12, 2), np.float32)
+    for c, word in enumerate(("court", "keeper")):
+        w[_bucket(word, 12), c] = 20
+    m = SubjectModel(["law", "sport"], w, np.full(2, -3, np.float32), np.full(2, 0.5), p)
+    text = lambda law, sport, fill: " ".join(["The court sat."] * law + ["The keeper ran."] * sport + ["Nothing more."] * fill)
+    got = [set(d) for d in m.shares([text(2, 6, 1), text(2, 8, 0), text(1, 7, 1), text(2, 12, 0), text(2, 6, 5)])]
+    assert got == [{"law", "sport"}, {"law", "sport"}, {"sport"}, {"sport"}, {"law", "sport"}]
