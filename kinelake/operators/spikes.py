@@ -1,16 +1,17 @@
 """Implausible readings: spikes, frozen stretches and impossible positions.
 
-Method.  The positions of a source (one ``tid``) are decomposed with an
-undecimated Haar wavelet, without resampling:
+Method.  The positions of a source (one ``tid``) are judged by chord residuals
+in place of the details of an undecimated Haar wavelet, without resampling;
+no multi-level decomposition is computed:
 
-* the second-order detail of a row (its distance from the line between its
-  neighbours) gives the robust noise scale of each camera, a median taken
+* the residual of a row (its distance from the line between its neighbours)
+  gives the robust noise scale of each camera, a median taken
   over all rows of the camera;
-* a *spike* is a stretch of one to four rows whose detail at the scale of the
-  stretch exceeds ``threshold`` times the camera's noise plus what a fast
+* a *spike* is a stretch of one to four rows whose distance from the line
+  between the rows beside the stretch exceeds ``threshold`` times the camera's noise plus what a fast
   runner could cover in the time beside it, and whose surroundings agree with
   each other; at the ends of a stretch of presence only one side exists;
-* zero details at dilation 1, 2, 3 or 4 over at least ``min_repeats`` rows
+* zero differences at lag 1, 2, 3 or 4 over at least ``min_repeats`` rows
   reveal a *frozen* sensor, also one that flips between a few stored
   readings, in either coordinate;
 * *impossible* readings lie more than one pitch beyond the camera's own
