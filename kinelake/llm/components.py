@@ -119,12 +119,11 @@ def contract(edges: DataFrame, edges_per_block: int = EDGES_PER_BLOCK) -> list[D
         grid = grid.repartitionById(side * side, "block").select("u", "v")
         star = cut(map_arrow(grid, _union_find(salt), "v bigint, root bigint, pri bigint"))
         hook = star.groupBy("v").agg(F.min(F.struct("pri", "root")).alias("m")).select("v", F.col("m.root").alias("up"))
-        hook = cut(hook)
         above = hook.select(F.col("v").alias("up"), F.col("up").alias("top"))
-        jump = cut(join_small(hook, above, "up", "inner").select("v", F.col("top").alias("up")))
+        jump = cut(hook.join(above, "up").select("v", F.col("top").alias("up")))  # a hub that many hook onto is a skewed key, which AQE splits
         # what a vertex was told by its blocks, seen from where it and they now are
         told = star.where("v <> root").join(jump, "v").select("root", "up").distinct()
-        e = join_small(told, jump.select(F.col("v").alias("root"), F.col("up").alias("other")), "root", "inner").where("up <> other")
+        e = told.join(jump.select(F.col("v").alias("root"), F.col("up").alias("other")), "root").where("up <> other")
         e = cut(e.select(F.least("up", "other").alias("u"), F.greatest("up", "other").alias("v")).distinct())
         left = e.count()
         steps.append(jump)
@@ -138,8 +137,8 @@ def component_labels(edges: DataFrame, edges_per_block: int = EDGES_PER_BLOCK) -
         return edges.sparkSession.createDataFrame([], "v bigint, label bigint")
     labels = steps[-1].withColumnRenamed("up", "label")
     for step in reversed(steps[:-1]):  # a vertex without an edge after a round keeps the parent it has
-        labels = cut(join_small(step, labels.select(F.col("v").alias("up"), "label"), "up").select("v", F.coalesce("label", "up").alias("label")))
-    return labels
+        labels = step.join(labels.select(F.col("v").alias("up"), "label"), "up", "left").select("v", F.coalesce("label", "up").alias("label"))
+    return cut(labels)
 
 
 def connected_components(edges: DataFrame, edges_per_block: int = EDGES_PER_BLOCK) -> DataFrame:
