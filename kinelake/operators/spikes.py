@@ -1,18 +1,23 @@
 """Implausible readings: spikes, frozen stretches and impossible positions.
 
-Method.  The positions of a source (one ``tid``) are judged by chord residuals
-in place of the details of an undecimated Haar wavelet, without resampling;
-no multi-level decomposition is computed:
-
-* the residual of a row (its distance from the line between its neighbours)
-  gives the robust noise scale of each camera, a median taken
-  over all rows of the camera;
-* a *spike* is a stretch of one to four rows whose distance from the line
-  between the rows beside the stretch exceeds ``threshold`` times the camera's noise plus what a fast
-  runner could cover in the time beside it, and whose surroundings agree with
+Method.  The positions of a source (one ``tid``) are decomposed by an
+undecimated lifting wavelet: at the levels 1, 2 and 3 the detail of a row is
+its distance from the prediction by the rows 1, 2 and 4 before and after it,
+weighted by the frames between, so that even motion over uneven frames has no
+detail (plain Haar details of a moving player would be the speed).  At the
+ends of a source, where one side is missing, it is the Haar difference to the
+other side.
+
+* details are scaled robustly, by the median of the level over all rows of the
+  camera;
+* a *spike* is a stretch of one to four rows that all have details beyond
+  ``loud`` medians at a level whose neighbours lie outside the stretch.  An
+  exact check follows: the stretch lies further from the line between the rows
+  beside it than ``threshold`` times the first level's median plus what a fast
+  runner could cover in the time beside it, and its surroundings agree with
   each other; at the ends of a stretch of presence only one side exists;
-* zero differences at lag 1, 2, 3 or 4 over at least ``min_repeats`` rows
-  reveal a *frozen* sensor, also one that flips between a few stored
+* runs of zero Haar details at lag 1, 2, 3 or 4 over at least ``min_repeats``
+  rows reveal a *frozen* sensor, also one that flips between a few stored
   readings, in either coordinate;
 * *impossible* readings lie more than one pitch beyond the camera's own
   robust extent, or are the sentinel (0, 0).
@@ -38,12 +43,15 @@ from kinelake.session import cut, join_small
 from kinelake.sources.tables import camera_of
 
 LOG_BASE = float(np.log(1.05))
+#: Rows between a row and those that predict it, per level of the decomposition.
+REACH = (1, 2, 4)
 TINY = 1e-6
 
 
 @dataclass(frozen=True)
 class SpikeParams:
-    threshold: float = 7.0  #: times the camera's median detail
+    loud: float = 3.5  #: times the camera's median detail of a level: a row that may be in a spike
+    threshold: float = 7.0  #: times the camera's median detail of the first level, in the check
     longest: int = 4  #: rows in a spike
     min_repeats: int = 5  #: rows of zero detail that make a stretch frozen
     absence_frames: int = 25  #: a longer hole is an absence
@@ -86,8 +94,21 @@ def _value(bin_col: str):
     return F.signum(b) * F.lit(TINY) * F.exp((F.abs(b) - 0.5) * LOG_BASE)
 
 
+def details(group: np.ndarray, frame: np.ndarray, x: np.ndarray, y: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Detail of every row at the level that predicts from ``reach`` rows away,
+    and the frames it spans (negative if one-sided).  Rows sorted by group and frame."""
+    n = len(group)
+    i = np.arange(n)
+    a, b = np.maximum(i - reach, 0), np.minimum(i + reach, n - 1)
+    left, right = (i >= reach) & (group[a] == group), (i + reach < n) & (group[b] == group)
+    span = np.maximum(frame[b].astype(np.int64) - frame[a], 1)
+    w = np.where(left & right, (frame - frame[a]) / span, np.where(left, 0.0, 1.0))
+    d = np.hypot(x - (x[a] * (1 - w) + x[b] * w), y - (y[a] * (1 - w) + y[b] * w))
+    return np.where(left | right, d, 0.0), np.where(left & right, span, -1)
+
+
 def camera_scales(blocked: DataFrame, p: SpikeParams) -> DataFrame:
-    """One row per camera: noise, v (typical fast speed per frame) and robust extents."""
+    """One row per camera: noise, noise2 and noise4 (median details of the levels), v (typical fast speed per frame) and robust extents."""
 
     def kernel(t: pa.Table) -> pa.Table | None:
         tid, block, frame, x, y, owned = _rows(t, p)
@@ -100,21 +121,20 @@ def camera_scales(blocked: DataFrame, p: SpikeParams) -> DataFrame:
         if not n:
             return None
         out = [(np.full(k.sum(), m, np.int32), cam[k], _bins(v[k])) for m, v, k in ((2, x, owned), (3, y, owned))]
+        gap = np.full(n, 1e9)
         if n > 1:
             step = np.zeros(n)
-            gap = np.full(n, 1e9)
             gap[1:] = np.where(first[1:], 1e9, frame[1:] - frame[:-1])
             step[1:] = np.hypot(x[1:] - x[:-1], y[1:] - y[:-1])
             near = owned & (gap <= p.near_frames) & (step > 0)
             out.append((np.full(near.sum(), 1, np.int32), cam[near], _bins(step[near] / gap[near])))
-        if n > 2:
-            d = np.zeros(n)
-            g2 = np.full(n, 1e9)
-            w = gap[1:-1] / np.maximum(gap[1:-1] + gap[2:], 1)
-            d[1:-1] = np.hypot(x[1:-1] - (x[:-2] + (x[2:] - x[:-2]) * w), y[1:-1] - (y[:-2] + (y[2:] - y[:-2]) * w))
-            g2[1:-1] = np.maximum(gap[1:-1], gap[2:])
-            near = owned & (g2 <= p.near_frames) & (d > 0)
-            out.append((np.full(near.sum(), 0, np.int32), cam[near], _bins(d[near])))
+        for metric, reach in zip((0, 4, 5), REACH):
+            d, span = details(np.cumsum(first), frame, x, y, reach)
+            near = owned & (span > 0) & (span <= 2 * reach * p.near_frames) & (d > 0)
+            if reach == 1:  # neighbours on both sides near
+                near[:-1] &= gap[1:] <= p.near_frames
+                near &= gap <= p.near_frames
+            out.append((np.full(near.sum(), metric, np.int32), cam[near], _bins(d[near])))
         m, c, b = (np.concatenate(z) for z in zip(*out))
         counted = pa.table({"cam": c, "metric": m, "bin": b}).group_by(["cam", "metric", "bin"]).aggregate([([], "count_all")])
         return counted.select(["cam", "metric", "bin", "count_all"]).rename_columns(["cam", "metric", "bin", "n"])
@@ -127,13 +147,15 @@ def camera_scales(blocked: DataFrame, p: SpikeParams) -> DataFrame:
     def at(metric: int, q: float):
         return F.min(F.when((F.col("metric") == metric) & (F.col("cum") >= q * F.col("total")), F.col("bin")))
 
-    wanted = {"noise": (0, 0.5), "v": (1, 0.95), "x_lo": (2, 0.01), "x_hi": (2, 0.99), "y_lo": (3, 0.01), "y_hi": (3, 0.99)}
+    wanted = {"noise": (0, 0.5), "noise2": (4, 0.5), "noise4": (5, 0.5), "v": (1, 0.95), "x_lo": (2, 0.01), "x_hi": (2, 0.99), "y_lo": (3, 0.01), "y_hi": (3, 0.99)}
     stats = cum.groupBy("cam").agg(*[at(*a).alias(c) for c, a in wanted.items()])
     return stats.select("cam", *[_value(c).alias(c) for c in wanted])
 
 
-def _spikes(tid, block, frame, x, y, noise, v, p: SpikeParams) -> np.ndarray:
-    """Mask of the rows in spikes; rows sorted, finite, one per (tid, block, frame)."""
+def _spikes(tid, block, frame, x, y, scales, v, p: SpikeParams) -> np.ndarray:
+    """Mask of the rows in spikes; rows sorted, finite, one per (tid, block, frame).
+
+    ``scales``: median details of the levels, per row."""
     n = len(tid)
     hit = np.zeros(n, bool)
     if n < 3:
@@ -145,13 +167,19 @@ def _spikes(tid, block, frame, x, y, noise, v, p: SpikeParams) -> np.ndarray:
     step = np.full(n, np.inf)
     step[1:] = np.where(same[1:], np.hypot(x[1:] - x[:-1], y[1:] - y[:-1]), np.inf)
     group = np.cumsum(~same)
-    jump = p.threshold * noise
+    jump = p.threshold * scales[0]
+    # rows with a detail beyond the threshold of some level that reaches over a stretch of a length
+    loud = np.zeros((len(REACH) + 1, n), bool)
+    for k in reversed(range(len(REACH))):
+        loud[k] = loud[k + 1] | (details(group, frame, x, y, REACH[k])[0] > p.loud * scales[k])
     for length in range(1, p.longest + 1):
         if n < length + 2:
             break
         i = np.arange(1, n - length)
         a, b = i - 1, i + length
-        i = i[(group[a] == group[b]) & (step[i] > 0.5 * jump[i]) & (step[b] > 0.5 * jump[i])]
+        level = next(k for k, reach in enumerate(REACH) if reach >= length)
+        spread = np.minimum.reduce([loud[level][i + k] for k in range(length)])
+        i = i[spread & (group[a] == group[b]) & (step[i] > 0.5 * jump[i]) & (step[b] > 0.5 * jump[i])]
         a, b = i - 1, i + length
         least = np.full(len(i), np.inf)
         inside = np.zeros(len(i))
@@ -188,7 +216,7 @@ def _spikes(tid, block, frame, x, y, noise, v, p: SpikeParams) -> np.ndarray:
             for k in range(length):
                 j = outer - sign * k
                 least = np.minimum(least, np.hypot(x[j] - x[inner], y[j] - y[inner]))
-                tight = np.maximum(tight, hit[j])
+                tight = np.maximum(tight, hit[j] | ~loud[0][j])
             calm = np.zeros(len(e))
             for k in (1, 2, 3):
                 calm = np.maximum(calm, np.hypot(x[inner + sign * k] - x[inner], y[inner + sign * k] - y[inner]))
@@ -231,11 +259,11 @@ def flag_implausible(tracks: DataFrame, params: SpikeParams = SpikeParams()) ->
 
     def kernel(t: pa.Table) -> pa.Table:
         tid, block, frame, x, y, owned = _rows(t, p)
-        s = {c: column(t, c) for c in ("noise", "v", "x_lo", "x_hi", "y_lo", "y_hi")}
+        s = {c: column(t, c) for c in ("noise", "noise2", "noise4", "v", "x_lo", "x_hi", "y_lo", "y_hi")}
         spike, frozen, far = (np.zeros(len(tid), bool) for _ in range(3))
         both = np.flatnonzero(np.isfinite(x) & np.isfinite(y))
         both = both[starts_of(tid[both], block[both], frame[both])]
-        spike[both] = _spikes(tid[both], block[both], frame[both], x[both], y[both], s["noise"][both], s["v"][both], p)
+        spike[both] = _spikes(tid[both], block[both], frame[both], x[both], y[both], [s[c][both] for c in ("noise", "noise2", "noise4")], s["v"][both], p)
         for v, lo, hi in ((x, s["x_lo"], s["x_hi"]), (y, s["y_lo"], s["y_hi"])):
             one = np.flatnonzero(np.isfinite(v))
             one = one[starts_of(tid[one], block[one], frame[one])]

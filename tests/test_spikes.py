@@ -61,3 +61,17 @@ def test_nulls_nan_empty(spark):
     base += [[None, 1, 1.0, 1.0, "c1", "c1_clip1", 0, ""], [1, None, 1.0, 1.0, None, None, 0, ""], [8, 4, None, None, None, None, 0, ""], [8, 5, 3.0, 3.0, None, None, 0, ""]]
     assert flags(spark, base) == {}
     assert flags(spark, []) == {}
+
+
+def test_details_vanish_on_even_motion_over_uneven_frames():
+    from kinelake.operators.spikes import details
+
+    frame = np.array([0, 2, 3, 7, 8, 12, 13, 15, 20, 22])
+    x, y = 0.4 * frame, 5 - 0.1 * frame
+    x[4] += 3  # one row off
+    group = np.zeros(10, int)
+    for reach in (1, 2, 4):
+        d, span = details(group, frame, x, y, reach)
+        inside = span > 0
+        assert d[4] == max(d[inside]) and abs(d[4] - 3) < 1e-9
+        assert all(abs(d[i]) < 1e-9 for i in np.flatnonzero(inside) if i not in (4 - reach, 4, 4 + reach))
