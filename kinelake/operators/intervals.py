@@ -1,15 +1,16 @@
 """Overlapping and gapped intervals: continuous periods per entity and the gaps between them.
 
-Method.  Every integer interval is decomposed into canonical dyadic blocks
-(at most two per level, levels 0 to ``LEVELS``) by a closed form, so that the
-decomposition stays in the JVM.  Blocks are deduplicated with a map-side
-aggregation; after that, one ``(entity, shard)`` group, a shard being
-``2 ** LEVELS`` positions, holds at most ``2 ** (LEVELS + 1)`` blocks however
-many intervals overlap there, which is what bounds a task for a hot entity.
-Within the shards blocks covered by an ancestor are removed, sibling pairs
-are merged upward, and adjacent blocks are coalesced, for all shards of a
-chunk at once.  Runs that touch shard edges are then joined over one summary
-row per shard.
+Method.  Every integer interval is decomposed into canonical dyadic blocks (at
+most two per level, at every level up to its length) by a closed form, so that
+the decomposition stays in the JVM and an interval of any length gives few
+blocks.  Blocks are deduplicated with a map-side aggregation.  ``LEVELS``
+levels make a tier; a group is an entity's blocks of one tier inside one block
+of the tier's top level, so it holds at most ``2 ** (LEVELS + 1)`` blocks
+however many intervals overlap there, which is what bounds a task for a hot
+entity.  Within the groups blocks covered by an ancestor are removed, sibling
+pairs are merged upward, and adjacent blocks are coalesced, for all groups of
+a chunk at once.  The runs of all tiers are then joined shard by shard, over
+one summary row per shard.
 """
 
 from __future__ import annotations
@@ -21,28 +22,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kinelake.functions.groups import column, map_groups
+from kinelake.session import cut, spread_rows
 
 LEVELS = 14
 
 
 def dyadic_blocks(lo: str, hi: str) -> Column:
-    """Array of (level, index) structs covering the integers ``lo`` to ``hi`` inclusive, by level capped at ``LEVELS``."""
+    """Array of (level, idx) structs covering the integers ``lo`` to ``hi`` inclusive; positions below 2 ** 61."""
     left = f"shiftright({lo} + shiftleft(1L, l) - 1, l)"
     right = f"shiftright({hi} + 1, l)"
-    small = f"""flatten(transform(sequence(0, {LEVELS - 1}), l -> filter(array(
+    levels = f"sequence(0, cast(ceil(log2({hi} - {lo} + 2)) as int))"
+    return F.expr(f"""flatten(transform({levels}, l -> filter(array(
         struct(l AS level, {left} AS idx, {left} < {right} AND {left} & 1 = 1 AS used),
-        struct(l AS level, {right} - 1 AS idx, {left} < {right} AND {right} & 1 = 1 AS used)), b -> b.used)))"""
-    first = f"shiftright({lo} + shiftleft(1L, {LEVELS}) - 1, {LEVELS})"
-    last = f"(shiftright({hi} + 1, {LEVELS}) - 1)"
-    whole = f"CASE WHEN {first} <= {last} THEN transform(sequence({first}, {last}), i -> struct({LEVELS} AS level, i AS idx, true AS used)) ELSE array() END"
-    return F.expr(f"concat({small}, {whole})")
+        struct(l AS level, {right} - 1 AS idx, {left} < {right} AND {right} & 1 = 1 AS used)), b -> b.used)))""")
 
 
 def _coalesce(table: pa.Table) -> pa.Table:
-    """Runs per (entity, shard) out of its distinct blocks; many shards at a time."""
-    ent, shard, level, idx = (column(table, c) for c in ("entity", "shard", "level", "idx"))
+    """Runs per (entity, tier, shard) out of its distinct blocks; many groups at a time."""
+    ent, tier, shard, level, idx = (column(table, c) for c in ("entity", "tier", "shard", "level", "idx"))
+    level = level - LEVELS * tier  # inside the tier
     key = np.zeros(len(ent), np.int64)
-    key[1:] = np.cumsum((ent[1:] != ent[:-1]) | (shard[1:] != shard[:-1]))
+    key[1:] = np.cumsum((ent[1:] != ent[:-1]) | (tier[1:] != tier[:-1]) | (shard[1:] != shard[:-1]))
     first = np.flatnonzero(np.diff(key, prepend=-1))
     # composite code at level l: the group number over the block's index inside the shard
     local = idx - (shard << (LEVELS - level))
@@ -78,20 +78,35 @@ def _coalesce(table: pa.Table) -> pa.Table:
     e = np.append(b[1:], len(start)) - 1
     g = start[b] >> LEVELS
     base = (shard[first[g]] << LEVELS) - (g << LEVELS)
-    return pa.table({"entity": ent[first[g]], "shard": shard[first[g]], "lo": start[b] + base, "hi": stop[e] - 1 + base})
+    unit = (LEVELS * tier[first[g]]).astype(np.int64)  # a tier counts in blocks of the top level below it
+    return pa.table({"entity": ent[first[g]], "lo": (start[b] + base) << unit, "hi": ((stop[e] + base) << unit) - 1})
 
 
-def _chain(runs: DataFrame) -> DataFrame:
-    """Join runs that touch over shard edges; only one row per shard is ever sorted per entity."""
-    edges = runs.groupBy("entity", "shard").agg(F.min("lo").alias("first_lo"), F.max("lo").alias("last_lo"), F.max("hi").alias("last_hi"))
-    w = Window.partitionBy("entity").orderBy("shard")
-    edges = edges.withColumn("joins", F.coalesce(F.lag("last_hi").over(w) + 1 == F.col("first_lo"), F.lit(False)))
-    own = F.when(~(F.col("joins") & (F.col("first_lo") == F.col("last_lo"))), F.col("last_lo"))
-    edges = edges.withColumn("chain", F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    edges = edges.withColumn("before", F.when(F.col("joins"), F.lag("chain").over(w)))
-    tied = runs.join(edges.select("entity", "shard", "first_lo", "before"), ["entity", "shard"])
-    start = F.when(F.col("lo") == F.col("first_lo"), F.coalesce("before", "lo")).otherwise(F.col("lo"))
-    return tied.groupBy("entity", start.alias("lo")).agg(F.max("hi").alias("hi"))
+def stretches(intervals: DataFrame) -> DataFrame:
+    """entity, lo, hi, before: the maximal stretches without an uncovered
+    position, and the end of the stretch before (null for the first)."""
+    src = intervals.select(F.col("entity").cast("bigint"), F.col("lo").cast("bigint"), F.col("hi").cast("bigint")).where("entity is not null and lo <= hi")
+    blocks = (
+        spread_rows(src.distinct())
+        .select("entity", F.explode(dyadic_blocks("lo", "hi")).alias("b"))
+        .select("entity", F.col("b.level").alias("level"), F.col("b.idx").alias("idx"))
+        .distinct()
+        .withColumn("tier", F.expr(f"greatest(0, cast(ceil((level - {LEVELS}) / {LEVELS}) as int))"))
+        .withColumn("shard", F.expr(f"shiftright(idx, {LEVELS} * (tier + 1) - level)"))
+    )
+    runs = map_groups(blocks, ["entity", "tier", "shard"], [], _coalesce, "entity bigint, lo bigint, hi bigint", rows=100_000)
+    runs = cut(runs.withColumn("shard", F.expr(f"shiftright(lo, {LEVELS})")))
+    # only one row per shard is ever sorted per entity: how far earlier shards reach
+    over = Window.partitionBy("entity").orderBy("shard")
+    reach = runs.groupBy("entity", "shard").agg(F.max("hi").alias("far")).withColumn("far", F.max("far").over(over.rowsBetween(Window.unboundedPreceding, -1)))
+    inner = Window.partitionBy("entity", "shard").orderBy("lo", "hi")
+    before = F.greatest(F.max("hi").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.col("far"))
+    starts = cut(runs.join(reach, ["entity", "shard"]).withColumn("before", before).where("before is null or lo > before + 1").select("entity", "shard", "lo", "before"))
+    # a stretch ends where the one after it says it did
+    later = starts.groupBy("entity", "shard").agg(F.min(F.struct("lo", "before")).alias("s")).withColumn("then", F.lead("s.before").over(over)).select("entity", "shard", "then")
+    last = runs.groupBy("entity").agg(F.max("hi").alias("last"))
+    ended = starts.join(later.join(last, "entity"), ["entity", "shard"])
+    return ended.select("entity", "lo", F.coalesce(F.lead("before").over(Window.partitionBy("entity", "shard").orderBy("lo")), "then", "last").alias("hi"), "before")
 
 
 def merge_intervals(intervals: DataFrame) -> DataFrame:
@@ -103,16 +118,7 @@ def merge_intervals(intervals: DataFrame) -> DataFrame:
     the three, or with hi < lo, cover nothing; other columns are ignored;
     repeated and nested intervals change nothing; an empty table gives none.
     """
-    src = intervals.select(F.col("entity").cast("bigint"), F.col("lo").cast("bigint"), F.col("hi").cast("bigint")).where("entity is not null and lo <= hi")
-    blocks = (
-        src.distinct()
-        .select("entity", F.explode(dyadic_blocks("lo", "hi")).alias("b"))
-        .select("entity", F.col("b.level").alias("level"), F.col("b.idx").alias("idx"))
-        .distinct()
-        .withColumn("shard", F.expr(f"shiftright(idx, {LEVELS} - level)"))
-    )
-    runs = map_groups(blocks, ["entity", "shard"], [], _coalesce, "entity bigint, shard bigint, lo bigint, hi bigint", rows=100_000)
-    return _chain(runs)
+    return stretches(intervals).select("entity", "lo", "hi")
 
 
 def interval_gaps(periods: DataFrame) -> DataFrame:
@@ -144,7 +150,6 @@ def fragment_spans(fragments: DataFrame) -> DataFrame:
 
 def presence(fragments: DataFrame) -> DataFrame:
     """Periods of presence and gaps per player: player_id, kind, start_frame, end_frame."""
-    periods = merge_intervals(fragment_spans(fragments))
-    gaps = interval_gaps(periods)
-    both = periods.withColumn("kind", F.lit("period")).unionByName(gaps.withColumn("kind", F.lit("gap")))
-    return both.select(F.col("entity").alias("player_id"), "kind", F.col("lo").cast("int").alias("start_frame"), F.col("hi").cast("int").alias("end_frame"))
+    kinds = F.array(F.struct(F.lit("period").alias("kind"), F.col("lo").alias("a"), F.col("hi").alias("b")), F.struct(F.lit("gap").alias("kind"), (F.col("before") + 1).alias("a"), (F.col("lo") - 1).alias("b")))
+    both = stretches(fragment_spans(fragments)).select("entity", F.explode(kinds).alias("k")).where("k.a is not null")
+    return both.select(F.col("entity").alias("player_id"), "k.kind", F.col("k.a").cast("int").alias("start_frame"), F.col("k.b").cast("int").alias("end_frame"))

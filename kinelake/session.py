@@ -62,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = sc.getConf().get("spark.checkpoint.dir", None)
+        if not where and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir is unset: a cluster has to name a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="kinelake-"))
 
 
@@ -92,3 +94,9 @@ def spread(df: DataFrame) -> DataFrame:
     """Give an input of few file splits at least two partitions per core, for work that is heavy per row."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly before an expansion, where the plan before may leave them in few partitions."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

@@ -84,3 +84,12 @@ def test_presence_of_fragments(spark):
 def test_hot_entity(spark, n):
     df = spark.range(n).selectExpr("cast(7 as bigint) entity", "id * 3 % 5000 lo", "id * 3 % 5000 + 1 hi")
     assert run(spark, [tuple(r) for r in df.collect()]) == brute([tuple(r) for r in df.collect()])
+
+
+def test_long_intervals_give_few_blocks(spark):
+    from kinelake.operators.intervals import dyadic_blocks
+
+    far = 1 << 40
+    df = spark.createDataFrame([(1, 5, far), (1, far + 1, far + 9), (1, 3, 40), (2, -far, far), (2, far + 2, far + 2)], "entity bigint, lo bigint, hi bigint")
+    assert sorted(map(tuple, merge_intervals(df).collect())) == [(1, 3, far + 9), (2, -far, far), (2, far + 2, far + 2)]
+    assert df.selectExpr("lo", "hi").select(dyadic_blocks("lo", "hi").alias("b")).selectExpr("max(size(b)) AS n").first().n <= 84
