@@ -3,11 +3,18 @@
 Method.  Readings are averaged per (source, slot) with a map-side
 aggregation.  Sources of one clip and a window of slots form a
 source-by-time matrix; x and y of a source are two of its rows, so both share
-the time factors.  The matrix is factorised by alternating ridge least
-squares over the observed cells, the time factors being tied to their
-neighbours in time.  Observed cells are returned exactly as averaged; missing
-cells of a source with enough observations in the window are filled; the
-others stay marked as unsupported, with null values.
+the time factors.  A missing cell is bridged from the two observed cells on
+either side of it, and what bridges miss, which all sources seen by one camera
+may share, comes from a low-rank factorisation: the deviations of the observed
+cells from the bridge over themselves are factorised by alternating ridge
+least squares, the time factors being tied to their neighbours in time, and
+the product is added to the bridge.  A fifth of the observed cells is kept out
+of the fit and decides what part of the product is worth adding: all of it
+where sources do move together, none where they don't.
+
+Observed cells are returned exactly as averaged, each coordinate by itself;
+missing cells of a source with enough observations in the window are filled;
+the others stay marked as unsupported, with null values.
 
 A matrix is bounded by construction: at most ``stripe`` sources of a clip by
 ``window`` slots, already averaged, so neither a hot clip nor a hot source
@@ -30,9 +37,12 @@ from kinelake.sources.tables import observation_time
 @dataclass(frozen=True)
 class GridParams:
     slot_s: float = 0.5
-    rank: int = 8  #: at most half the slots of the window in use
-    rounds: int = 8
-    ridge: float = 0.01  #: in cells, on both factors
+    rank: int = 4  #: at most half the slots of the window in use
+    rounds: int = 5
+    ridge: float = 2.0  #: in cells, on both factors
+    tension: float = 0.5  #: of the bridge: 1 a line, 0 a cubic
+    held_out: int = 5  #: one observed cell in so many decides the weight of the product
+    clip: float = 4.0  #: robust deviations beyond which a cell says no more
     tie: float = 1.0  #: weight of the neighbouring time factors, in cells
     window: int = 256  #: slots in a matrix
     stripe: int = 64  #: sources in a matrix
@@ -69,6 +79,58 @@ def _als(m: np.ndarray, seen: np.ndarray, p: GridParams) -> np.ndarray:
     return u @ v.T
 
 
+def _bridge(m: np.ndarray, known: np.ndarray, tension: float) -> tuple[np.ndarray, np.ndarray]:
+    """Value of every cell from the two known cells before and the two after it
+    (never from itself), and where cells on both sides exist.
+
+    A cubic through the inner two with the slopes of the outer ones, drawn
+    towards their line by ``tension``; with one side known its nearest cell."""
+    rows, cols = m.shape
+    t = np.arange(cols)[None, :]
+    at = np.where(known, t, -1)
+    none = np.full((rows, 1), -1)
+    row = np.arange(rows)[:, None]
+    a = np.maximum.accumulate(np.concatenate([none, at[:, :-1]], 1), 1)  # last known before
+    first = lambda k: np.where(k < 0, 0, k)
+    a2 = np.where(a >= 0, a[row, first(a)], -1)
+    at = np.where(known, t, cols)
+    b = np.minimum.accumulate(np.concatenate([at[:, 1:], np.full((rows, 1), cols)], 1)[:, ::-1], 1)[:, ::-1]
+    last = lambda k: np.where(k >= cols, cols - 1, k)
+    b2 = np.where(b < cols, b[row, last(b)], cols)
+    va, vb, va2, vb2 = m[row, first(a)], m[row, last(b)], m[row, first(a2)], m[row, last(b2)]
+    inner = (a >= 0) & (b < cols)
+    h = np.maximum(b - a, 1)
+    slope = (vb - va) / h
+    u = (t - a) / h
+    line = va + (vb - va) * u
+    # at the inner cells the slope of the nearer stretch counts more
+    ha, hb = np.maximum(a - a2, 1), np.maximum(b2 - b, 1)
+    left = np.where(a2 >= 0, (ha * slope + h * (va - va2) / ha) / (ha + h), slope)
+    right = np.where(b2 < cols, (hb * slope + h * (vb2 - vb) / hb) / (hb + h), slope)
+    cubic = (2 * u**3 - 3 * u**2 + 1) * va + (u**3 - 2 * u**2 + u) * h * left + (3 * u**2 - 2 * u**3) * vb + (u**3 - u**2) * h * right
+    value = np.where(inner, tension * line + (1 - tension) * cubic, np.where(a >= 0, va, np.where(b < cols, vb, np.nan)))
+    return value, inner
+
+
+def _fill(m: np.ndarray, known: np.ndarray, p: GridParams) -> np.ndarray:
+    """Completed matrix: bridge plus the share of the low-rank product that the held-out cells confirm."""
+    m = np.where(known, m, 0.0)
+    value, inner = _bridge(m, known, p.tension)
+    usable = known & inner
+    off = np.where(usable, m - np.where(usable, value, 0.0), 0.0)
+    n = np.maximum(usable.sum(1), 1)
+    scale = np.abs(off).sum(1) / n
+    scale = (np.minimum(np.abs(off), 3 * scale[:, None]).sum(1) / n)[:, None] + 1e-9  # spikes don't set the scale
+    dev = np.clip(off / scale, -p.clip, p.clip)
+    rows, cols = m.shape
+    kept = (np.arange(rows)[:, None] * 7919 + np.arange(cols)[None, :] * 104729) % p.held_out > 0
+    product = _als(np.where(kept, dev, 0.0), usable & kept, p)
+    test = usable & ~kept
+    power = float((product[test] ** 2).sum())
+    share = min(1.0, max(0.0, float((product[test] * dev[test]).sum()) / power)) if power > 0 else 0.0
+    return value + share * product * scale
+
+
 def _matrix(table: pa.Table, p: GridParams) -> pa.Table:
     clip, stripe, block, tid, kind, slot = (column(table, c) for c in ("clip", "stripe", "block", "tid", "kind", "slot"))
     hi, n = column(table, "hi"), column(table, "n")
@@ -93,25 +155,17 @@ def _matrix(table: pa.Table, p: GridParams) -> pa.Table:
         seen[r, c] = True
         count[r, c] = n[b:e][obs]
         val[0, r, c], val[1, r, c] = x[b:e][obs], y[b:e][obs]
-        known = np.isfinite(val[0]) & np.isfinite(val[1])
-        filled = val.copy()
-        support = inside & ~known & (known.sum(1) >= p.min_cells)[:, None]
-        if support.any():
-            w = np.concatenate([known, known])
-            m = np.where(w, np.concatenate([val[0], val[1]]), 0.0)
-            cells = np.maximum(w.sum(1), 1)[:, None]
-            mean = m.sum(1, keepdims=True) / cells
-            dev = np.where(w, m - mean, 0.0)
-            sd = np.sqrt((dev * dev).sum(1, keepdims=True) / cells) + 1e-9
-            done = _als(dev / sd, w, p) * sd + mean
-            half = len(tids)
-            filled[0] = np.where(support, done[:half], filled[0])
-            filled[1] = np.where(support, done[half:], filled[1])
+        both = np.concatenate([val[0], val[1]])
+        known = np.isfinite(both)
+        support = np.concatenate([inside, inside]) & ~known & (known.sum(1) >= p.min_cells)[:, None]
+        filled = np.where(support, _fill(both, known, p), both) if support.any() else both
+        done_x, done_y = support[: len(tids)], support[len(tids) :]
+        filled = filled.reshape(2, len(tids), cols)
         rr, cc = np.nonzero(inside)
-        status = np.where(seen, 0, np.where(support, 1, 2))[rr, cc]
+        status = np.where(seen, np.where(done_x | done_y, 3, 0), np.where(done_x & done_y, 1, 2))[rr, cc]
         out.append((tids[rr], cc + used_lo, status, count[rr, cc], filled[0, rr, cc], filled[1, rr, cc]))
     t, sl, st, ct, fx, fy = (np.concatenate(z) for z in zip(*out))
-    names = pa.array(["observed", "filled", "unsupported"])
+    names = pa.array(["observed", "filled", "unsupported", "observed_filled"])
     return pa.table(
         {
             "tid": pa.array(t, pa.int32()),
@@ -130,8 +184,10 @@ def regular_grid(tracks: DataFrame, params: GridParams = GridParams()) -> DataFr
     ``slot = floor(time / slot_s)`` with the clip's believed clock (see
     ``observation_time``).  Every slot from the first to the last of a source
     comes out once.  ``observed``: at least one row; x and y are the exact
-    averages of its distinct readings (null where the rows have no position,
-    or a filled value where the source supports one).  ``filled``: no row,
+    averages of its distinct readings (null where the rows have no position
+    and the source supports none).  ``observed_filled``: at least one row, but
+    a coordinate that none of them has is filled; the other is exact.
+    ``filled``: no row,
     value from the factorisation.  ``unsupported``: no row and too little
     known; x and y null.  Rows without tid or time are left out; NaN counts as
     null; repeated rows of a (tid, frame) count once; other columns are

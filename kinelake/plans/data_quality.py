@@ -24,7 +24,7 @@ def p5_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return regular_grid(table(spark, d, "tracks")).where("status <> 'observed'").select("tid", F.col("slot").cast("int").alias("slot"))
+    return regular_grid(table(spark, d, "tracks")).where("status in ('filled', 'unsupported')").select("tid", F.col("slot").cast("int").alias("slot"))
 
 
 def p7_grid(spark: SparkSession, d: str) -> DataFrame:

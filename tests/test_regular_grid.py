@@ -46,3 +46,26 @@ def test_held_out_cells_of_a_low_rank_scene(spark):
     g = grid(spark, rows)
     err = [np.hypot(g[k].x - np.mean([p[0] for p in v]), g[k].y - np.mean([p[1] for p in v])) for k, v in hidden.items()]
     assert all(g[k].status == "filled" for k in hidden) and np.median(err) < 0.15 and max(err) < 2
+
+
+def test_an_observed_coordinate_stays_when_the_other_is_filled(spark):
+    # slot 4 has x but no y
+    rows = [(1, 25 * s // 2, 25.0, 0.5 * s, "a", 10.0 + s, None if s == 4 else 20.0 - s, None, None) for s in range(10)]
+    g = {r.slot: r for r in regular_grid(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert (g[4].status, g[4].x) == ("observed_filled", 14.0) and abs(g[4].y - 16) < 0.2
+    assert {g[s].status for s in range(10) if s != 4} == {"observed"}
+
+
+def test_fill_beats_a_line_on_curved_paths():
+    import numpy as np
+
+    from kinelake.operators.regular_grid import GridParams, _fill
+
+    rng = np.random.default_rng(4)
+    t = np.arange(200)
+    m = np.stack([20 * np.sin(t / (6 + k) + k) + rng.normal(0, 0.1, 200) for k in range(12)])
+    known = rng.random(m.shape) > 0.3
+    known[:, [0, -1]] = True
+    line = np.stack([np.interp(t, t[k], v[k]) for v, k in zip(m, known)])
+    err = lambda z: np.median(np.abs(z - m)[~known])
+    assert err(_fill(m, known, GridParams())) < err(line)
