@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.functions.groups import column, whole_groups
-from kinelake.session import map_arrow
+from kinelake.session import cut, join_small, map_arrow
 
 K = 512
 BUFFERS = 8
 #: Values buffered in a map task before its sketches are sent on and begun anew.
 HELD_VALUES = 4_000_000
+#: Buffers of a group that one merge takes in.
+FAN_IN = 1024
 SKETCH = "weight bigint, level int, error double, vals array<double>"
 
 
@@ -221,23 +223,30 @@ def _merge(rows: list[tuple], k: int, buffers: int) -> Sketch:
     return s
 
 
-def merge_sketches(sketches: DataFrame, by: list[str], k: int = K, buffers: int = BUFFERS, salts: int = 1) -> DataFrame:
-    """One sketch per (by, metric) out of partial ones; ``by`` may be fewer
-    columns than those of the input, e.g. without the day.  With ``salts``
-    more than 1 the partial sketches of a group are first merged in that many
-    parts, so that no task gets all sketches of a hot group."""
-    kept = sketches.select(*by, "metric", "weight", "level", "error", "vals")
-    ddl, schema = _key_schema(kept, by)
+def merge_sketches(sketches: DataFrame, by: list[str], k: int = K, buffers: int = BUFFERS, fan_in: int = FAN_IN) -> DataFrame:
+    """Partial sketches of each (by, metric) merged to at most ``fan_in`` buffers; ``by``
+    may be fewer columns than those of the input, e.g. without the day.
+
+    The merges form a tree: in a round a group of more than ``fan_in`` buffers
+    is dealt out to parts of that many, each merged to one sketch by one
+    kernel call, so no task ever holds more of a hot group, and rounds grow
+    with the logarithm of the largest group."""
+    kept = cut(sketches.select(*by, "metric", "weight", "level", "error", "vals").withColumn("__g", F.xxhash64(*by, "metric")))
+    inner = [*by, "__part"]
+    ddl, schema = _key_schema(kept.withColumn("__part", F.lit(0)), inner)
 
     def fn(t: pa.Table) -> pa.RecordBatch:
-        got = [(key, _merge(rows, k, buffers).rows()) for key, rows in _each_group(t, by)]
+        got = [(key, _merge(rows, k, buffers).rows()) for key, rows in _each_group(t, inner)]
         return _pack([a for a, _ in got], [b for _, b in got], schema)
 
-    if salts > 1:
-        inner = by + ["__salt"]
-        salted = kept.withColumn("__salt", F.pmod(F.xxhash64("vals", "weight"), F.lit(salts)).cast("int"))
-        return merge_sketches(merge_sketches(salted, inner, k, buffers), by, k, buffers)
-    return _grouped(kept, by, fn, ddl)
+    while True:
+        sizes = cut(kept.groupBy("__g").agg(F.count(F.lit(1)).alias("__n")))
+        if (sizes.agg(F.max("__n")).first()[0] or 0) <= fan_in:
+            return kept.drop("__g")
+        # kept is a stored table, so its row numbers are the same on every attempt
+        dealt = join_small(kept.withColumn("__id", F.monotonically_increasing_id()), sizes, "__g", "inner").withColumn("__part", F.pmod(F.xxhash64("__id"), F.ceil(F.col("__n") * 2 / fan_in).cast("long")).cast("int"))
+        merged = _grouped(dealt.select(*inner, "metric", "weight", "level", "error", "vals"), inner, fn, ddl)
+        kept = cut(merged.drop("__part").withColumn("__g", F.xxhash64(*by, "metric")))
 
 
 def percentiles(sketches: DataFrame, by: list[str], qs: list[float], k: int = K, buffers: int = BUFFERS) -> DataFrame:
@@ -246,7 +255,7 @@ def percentiles(sketches: DataFrame, by: list[str], qs: list[float], k: int = K,
     ``value`` is a value of the column whose rank differs from
     ``ceil(q * n)`` by at most ``max_rank_error`` rows (0: exact).
     """
-    kept = merge_sketches(sketches, by, k, buffers, salts=8)
+    kept = merge_sketches(sketches, by, k, buffers)
     types = dict(kept.dtypes)
     ddl = ", ".join(f"`{c}` {types[c]}" for c in by) + ", metric string, n bigint, max_rank_error double, q double, value double"
     key_schema = _key_schema(kept, by)[1]
