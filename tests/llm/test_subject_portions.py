@@ -31,3 +31,12 @@ def test_two_sentences_that_are_a_fifth_count(spark):
     text = lambda law, sport, fill: " ".join(["The court sat."] * law + ["The keeper ran."] * sport + ["Nothing more."] * fill)
     got = [set(d) for d in m.shares([text(2, 6, 1), text(2, 8, 0), text(1, 7, 1), text(2, 12, 0), text(2, 6, 5)])]
     assert got == [{"law", "sport"}, {"law", "sport"}, {"sport"}, {"sport"}, {"law", "sport"}]
+
+
+def test_fenced_text_is_kept_and_sections_end_at_headings():
+    from kinelake.llm.subjects import pieces
+
+    got = pieces("One here. Two here.\n## 3\nThree.\nFour.\n\nFive.\n```\ncode = 1\n")
+    assert [(s, f) for s, _, f in got] == [("One here.", False), ("Two here.", False), ("## 3", False), ("Three.", False), ("Four.", False), ("Five.", False), ("code = 1", True)]
+    n = [k for _, k, _ in got]
+    assert n[0] == n[1] < n[3] == n[4] < n[5] < n[6]
