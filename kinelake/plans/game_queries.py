@@ -5,23 +5,23 @@ from __future__ import annotations
 from kinelake.operators import game as op
 from kinelake.operators import sequence as seq
 from kinelake.operators.pairs import framed
-from kinelake.plans.pair_queries import _C, _INT, _P, _PL
+from kinelake.plans.pair_queries import _C, _INT, _P, _PL, _TEAM
 from kinelake.plans.registry import Registry
 
 Q = Registry()
 
-_V = _C + """, vl AS (SELECT *, CASE WHEN g - lag(g) OVER w = 1 THEN x - lag(x) OVER w END AS vx, CASE WHEN g - lag(g) OVER w = 1 THEN y - lag(y) OVER w END AS vy FROM c WINDOW w AS (PARTITION BY tid ORDER BY g)),
+_V = _C + """, vl AS (SELECT *, CASE WHEN g - lag(g) OVER w <= 10 THEN (x - lag(x) OVER w) * 25 / (g - lag(g) OVER w) END AS vx, CASE WHEN g - lag(g) OVER w <= 10 THEN (y - lag(y) OVER w) * 25 / (g - lag(g) OVER w) END AS vy FROM c WINDOW w AS (PARTITION BY tid ORDER BY g)),
     v AS (SELECT *, sqrt(vx * vx + vy * vy) AS speed FROM vl)"""
-_CONV = _V + """, d AS (SELECT *, vx / speed AS dx, vy / speed AS dy FROM v WHERE speed >= CAST(0.05 AS DOUBLE)),
+_CONV = _V + """, d AS (SELECT *, vx / speed AS dx, vy / speed AS dy FROM v WHERE speed >= CAST(0.25 AS DOUBLE)),
     s AS (SELECT clip, g, count(*) AS k, sum(1 - dx*dx) AS a, sum(-dx*dy) AS b, sum(1 - dy*dy) AS c, sum((1 - dx*dx)*x - dx*dy*y) AS u, sum((1 - dy*dy)*y - dx*dy*x) AS v, avg(x) AS mx, avg(y) AS my FROM d GROUP BY clip, g HAVING count(*) >= 2),
     f AS (SELECT *, a * c - b * b <= 1e-2 * (a + c) * (a + c) AS degenerate FROM s),
     cv AS (SELECT clip, g, k, round(CASE WHEN degenerate THEN mx ELSE (c * u - b * v) / (a * c - b * b) END, 3) AS px, round(CASE WHEN degenerate THEN my ELSE (a * v - b * u) / (a * c - b * b) END, 3) AS py, degenerate FROM f)"""
 Q.on("convergence_point", "t", op.convergence_point, f"WITH {_CONV} SELECT clip, {_INT}, k, px, py, degenerate FROM cv")
 Q.on("focus_track", "t", op.focus_track, f"""WITH {_CONV}, b AS (SELECT clip, g, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM c GROUP BY clip, g)
     SELECT clip, {_INT}, round(least(greatest(px, x0 - 3), x1 + 3), 3) AS fx, round(least(greatest(py, y0 - 3), y1 + 3), 3) AS fy FROM cv JOIN b USING (clip, g)""")
-Q.on("kickoff_readiness", "t", op.kickoff_readiness, f"""WITH {_V}, m AS (SELECT clip, avg(x) AS cx, avg(y) AS cy FROM v GROUP BY clip),
-    s AS (SELECT clip, g, avg(CASE WHEN tid % 2 = 0 THEN CASE WHEN x < cx THEN 1.0::DOUBLE ELSE 0 END END) AS a, avg(CASE WHEN tid % 2 <> 0 THEN CASE WHEN x < cx THEN 1.0::DOUBLE ELSE 0 END END) AS b, avg(x) AS mx, avg(y) AS my, avg(coalesce(speed, 0)) AS sp, any_value(cx) AS cx, any_value(cy) AS cy FROM v JOIN m USING (clip) GROUP BY clip, g)
-    SELECT clip, {_INT}, round(greatest(a * (1 - b), (1 - a) * b) * exp(-sqrt((mx - cx) * (mx - cx) + (my - cy) * (my - cy)) / 10) * exp(-sp), 5) AS ready, round(mx - cx, 4) AS side FROM s WHERE a IS NOT NULL AND b IS NOT NULL""")
+Q.on("kickoff_readiness", ["t", "tracklets"], op.kickoff_readiness, f"""WITH {_V}, {_TEAM}, m AS (SELECT clip, avg(x) AS cx, avg(y) AS cy FROM v GROUP BY clip),
+    s AS (SELECT clip, g, avg(CASE WHEN team = 0 THEN CASE WHEN x < cx THEN 1.0::DOUBLE ELSE 0 END END) AS a, avg(CASE WHEN team = 1 THEN CASE WHEN x < cx THEN 1.0::DOUBLE ELSE 0 END END) AS b, avg(x) AS mx, avg(y) AS my, avg(coalesce(speed, 0)) AS sp, any_value(cx) AS cx, any_value(cy) AS cy FROM v JOIN m USING (clip) LEFT JOIN team USING (tid) GROUP BY clip, g)
+    SELECT clip, {_INT}, round(greatest(a * (1 - b), (1 - a) * b) * exp(-sqrt((mx - cx) * (mx - cx) + (my - cy) * (my - cy)) / 10) * exp(-sp / 5), 5) AS ready, round(mx - cx, 4) AS side FROM s WHERE a IS NOT NULL AND b IS NOT NULL""")
 Q.on("wall_pairs", "t", op.wall_pairs, f"""WITH {_C}, d AS (SELECT a.clip, a.g, a.tid AS tid_a, b.tid AS tid_b, a.y - b.y AS dy, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM c a JOIN c b ON a.clip = b.clip AND a.g = b.g AND a.tid < b.tid),
     s AS (SELECT clip, g, tid_a, tid_b, round(sqrt(exp(-abs(d - 1)) * abs(dy) / d), 6) AS score FROM d WHERE d <= 14 AND d > 0)
     SELECT clip, {_INT}, tid_a, tid_b, score FROM (SELECT *, row_number() OVER (PARTITION BY clip, g ORDER BY score DESC, tid_a, tid_b) AS i FROM s) WHERE i = 1 AND score > 0""")
@@ -48,7 +48,7 @@ Q.on("coregister", "t", op.coregister, f"""WITH {_C}, q AS (SELECT a.clip, a.g,
     s AS (SELECT clip, count(*) AS n, quantile_cont(bx - ax, 0.5) AS dx, quantile_cont(byy - ay, 0.5) AS dy, sum((ax - ma) * (byy - nb) - (ay - na) * (bx - mb)) AS s, sum((ax - ma) * (bx - mb) + (ay - na) * (byy - nb)) AS c FROM m JOIN w USING (clip) GROUP BY clip HAVING count(*) >= 5)
     SELECT clip, n, round(dx, 4) AS dx, round(dy, 4) AS dy, round(atan2(s, c), 4) AS angle FROM s""")
 Q.on("fused_tracks", ["t", "connect_labels"], op.fused_tracks, f"""WITH {_PL}, {_C}, f AS (SELECT clip, player_id, g, sum(conf * x) / sum(conf) AS x, sum(conf * y) / sum(conf) AS y, count(DISTINCT tid) AS k FROM c JOIN pl USING (tid) GROUP BY clip, player_id, g HAVING sum(conf) > 0),
-    s AS (SELECT *, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS d, (g - lag(g) OVER w) * CAST(0.2 AS DOUBLE) AS dt FROM f WINDOW w AS (PARTITION BY clip, player_id ORDER BY g))
+    s AS (SELECT *, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS d, (g - lag(g) OVER w) / 25.0::DOUBLE AS dt FROM f WINDOW w AS (PARTITION BY clip, player_id ORDER BY g))
     SELECT clip, player_id, count(*) AS n, max(k) AS max_tracks, round(sum(CASE WHEN d <= 8 * dt THEN d ELSE 0 END), 3) AS dist FROM s GROUP BY clip, player_id""")
 
 # grouped kernels: tested against brute force on small fixtures instead of SQL

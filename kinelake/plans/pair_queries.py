@@ -7,19 +7,19 @@ from kinelake.plans.registry import Registry
 
 Q = Registry()
 
-_C = """c AS (SELECT clip, tid, frame // 5 AS g, arg_min(x, frame) AS x, arg_min(y, frame) AS y, arg_min(fx, frame) AS fx, arg_min(fy, frame) AS fy,
-        coalesce(arg_min_null(conf, frame), 0) AS conf, coalesce(arg_min_null(box_h, frame), 0) AS box_h FROM t WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY clip, tid, frame // 5)"""
+_C = "c AS (SELECT clip, tid, frame AS g, x, y, fx, fy, coalesce(conf, 0) AS conf, coalesce(box_h, 0) AS box_h FROM t WHERE x IS NOT NULL AND y IS NOT NULL)"
+_TEAM = "team AS (SELECT tid, max(team) AS team FROM tracklets WHERE tid IS NOT NULL GROUP BY tid)"
 _P = _C + """,
     p AS (SELECT a.clip, a.g, a.tid AS tid_a, b.tid AS tid_b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2, round(a.conf * a.box_h, 6) AS sa, round(b.conf * b.box_h, 6) AS sb
         FROM c a JOIN c b ON a.clip = b.clip AND a.g = b.g AND a.tid < b.tid)"""
 _INT = "CAST(g AS INTEGER) AS g"
 
 Q.on("encounter_pairs", "t", op.encounter_pairs, f"WITH {_P} SELECT clip, tid_a, tid_b, count(*) AS n, CAST(min(g) AS INTEGER) AS g0, CAST(max(g) AS INTEGER) AS g1 FROM p WHERE d2 < 2.25 GROUP BY clip, tid_a, tid_b")
-Q.on("encounter_events", "t", op.encounter_events, f"""WITH {_P}, n AS (SELECT *, CASE WHEN coalesce(g - lag(g) OVER w, 1000000) > 5 THEN 1 ELSE 0 END AS new FROM p WHERE d2 < 9 WINDOW w AS (PARTITION BY clip, tid_a, tid_b ORDER BY g)),
+Q.on("encounter_events", "t", op.encounter_events, f"""WITH {_P}, n AS (SELECT *, CASE WHEN coalesce(g - lag(g) OVER w, 1000000) > 25 THEN 1 ELSE 0 END AS new FROM p WHERE d2 < 9 WINDOW w AS (PARTITION BY clip, tid_a, tid_b ORDER BY g)),
     v AS (SELECT *, sum(new) OVER (PARTITION BY clip, tid_a, tid_b ORDER BY g ROWS UNBOUNDED PRECEDING) AS event FROM n),
     e AS (SELECT clip, tid_a, tid_b, event, min(g) AS g0, max(g) AS g1 FROM v GROUP BY ALL), l AS (SELECT tid, max(g) AS last_g FROM c GROUP BY tid)
     SELECT clip, tid_a, tid_b, event, CAST(g0 AS INTEGER) AS g0, CAST(g1 AS INTEGER) AS g1,
-        g1 = max(g1) OVER (PARTITION BY clip, tid_a, tid_b) AND least(la.last_g, lb.last_g) - g1 <= 10 AS seam_risk
+        g1 = max(g1) OVER (PARTITION BY clip, tid_a, tid_b) AND least(la.last_g, lb.last_g) - g1 <= 50 AS seam_risk
     FROM e JOIN l la ON la.tid = tid_a JOIN l lb ON lb.tid = tid_b""")
 Q.on("inframe_dedup", "t", op.inframe_dedup, f"WITH {_P} SELECT DISTINCT clip, {_INT}, CASE WHEN sa >= sb THEN tid_b ELSE tid_a END AS tid FROM p WHERE d2 < 4")
 Q.on("tile_antijoin", "t", op.tile_antijoin, f"""WITH {_C} SELECT clip, {_INT}, tid FROM c w WHERE conf < CAST(0.3 AS DOUBLE)
@@ -27,10 +27,11 @@ Q.on("tile_antijoin", "t", op.tile_antijoin, f"""WITH {_C} SELECT clip, {_INT},
 _O = _C + """, f AS (SELECT clip, g, avg(x) AS mx, avg(y) AS my FROM c GROUP BY clip, g HAVING count(*) >= 2),
     k AS (SELECT c.clip, c.g, c.tid, round(sqrt((x - mx) * (x - mx) + (y - my) * (y - my)), 6) AS d FROM c JOIN f USING (clip, g)),
     o AS (SELECT clip, g, tid AS owner, d FROM (SELECT *, row_number() OVER (PARTITION BY clip, g ORDER BY d, tid) AS i FROM k) WHERE i = 1)"""
-_HAND = _O + """, w AS (SELECT *, lag(owner) OVER v AS was, lag(g) OVER v AS wg FROM o WINDOW v AS (PARTITION BY clip ORDER BY g)), h AS (SELECT * FROM w WHERE was <> owner AND g - wg <= 10)"""
+_HAND = _O + """, w AS (SELECT *, lag(owner) OVER v AS was, lag(g) OVER v AS wg FROM o WINDOW v AS (PARTITION BY clip ORDER BY g)), h AS (SELECT * FROM w WHERE was <> owner AND g - wg <= 50)"""
 Q.on("greedy_owner", "t", op.greedy_owner, f"WITH {_O} SELECT clip, {_INT}, owner, d FROM o")
 Q.on("possession_share", "t", op.possession_share, f"WITH {_O}, n AS (SELECT clip, owner, count(*) AS n FROM o GROUP BY clip, owner) SELECT clip, owner, n, round(n / sum(n) OVER (PARTITION BY clip), 6) AS share FROM n")
-Q.on("handoff_events", "t", op.handoff_events, f"WITH {_HAND} SELECT clip, {_INT}, was AS from_tid, owner AS to_tid, CASE WHEN was % 2 = owner % 2 THEN 'pass' ELSE 'turnover' END AS kind FROM h")
+Q.on("handoff_events", ["t", "tracklets"], op.handoff_events, f"""WITH {_HAND}, {_TEAM} SELECT h.clip, {_INT}, was AS from_tid, owner AS to_tid, CASE WHEN a.team IS NULL OR b.team IS NULL THEN 'unknown' WHEN a.team = b.team THEN 'pass' ELSE 'turnover' END AS kind
+    FROM h LEFT JOIN team a ON a.tid = was LEFT JOIN team b ON b.tid = owner""")
 Q.on("transition_matrix", "t", op.transition_matrix, f"WITH {_HAND} SELECT clip, least(was, owner) AS a, greatest(was, owner) AS b, count(*) AS n FROM h GROUP BY 1, 2, 3")
 _OVER = "SELECT clip, tid_a, tid_b, count(*) AS n, round(quantile_cont(sqrt(d2), 0.5), 4) AS median_d FROM p GROUP BY clip, tid_a, tid_b HAVING count(*) >= {n} AND quantile_cont(sqrt(d2), 0.5) <= {d}"
 Q.on("overlap_distance", "t", op.overlap_distance, f"WITH {_P} {_OVER.format(n=5, d=1e9)}")
@@ -62,11 +63,10 @@ _X = _P + """, d AS (SELECT clip, tid_a, tid_b, g, round(sqrt(d2), 6) AS d FROM
     x AS (SELECT clip, tid_a, tid_b, any_value(mg) AS g, any_value(min_d) AS min_d FROM d JOIN m USING (clip, tid_a, tid_b) GROUP BY clip, tid_a, tid_b
         HAVING max(CASE WHEN g < mg THEN d END) > 3 AND max(CASE WHEN g > mg THEN d END) > 3)"""
 Q.on("crossings", "t", op.crossings, f"WITH {_X} SELECT clip, tid_a, tid_b, {_INT}, min_d FROM x")
-Q.on("resolves", "t", op.resolves, f"""WITH {_X}, o AS (SELECT clip, tid AS o, min(g) AS g0, max(g) AS g1, avg(x) AS ox, avg(y) AS oy FROM c GROUP BY clip, tid)
-    SELECT x.clip, tid_a, tid_b, count(*) AS n_witnesses FROM x JOIN c ON c.clip = x.clip AND c.tid = x.tid_a AND c.g = x.g JOIN o ON o.clip = x.clip
-    WHERE o <> tid_a AND o <> tid_b AND g0 <= x.g + 4 AND g1 >= x.g - 4 AND (ox - c.x) * (ox - c.x) + (oy - c.y) * (oy - c.y) <= 64 GROUP BY x.clip, tid_a, tid_b""")
+Q.on("resolves", "t", op.resolves, f"""WITH {_X} SELECT x.clip, tid_a, tid_b, count(DISTINCT o.tid) AS n_witnesses FROM x JOIN c ON c.clip = x.clip AND c.tid = x.tid_a AND c.g = x.g JOIN c o ON o.clip = x.clip
+    WHERE o.tid <> tid_a AND o.tid <> tid_b AND abs(o.g - x.g) <= 20 AND (o.x - c.x) * (o.x - c.x) + (o.y - c.y) * (o.y - c.y) <= 64 GROUP BY x.clip, tid_a, tid_b""")
 Q.on("comotion_affinity", "t", op.comotion_affinity, f"""WITH {_C}, v AS (SELECT clip, tid, g, x - lag(x) OVER w AS vx, y - lag(y) OVER w AS vy, g - lag(g) OVER w AS dg FROM c WINDOW w AS (PARTITION BY tid ORDER BY g)),
-    n AS (SELECT *, sqrt(vx * vx + vy * vy) AS vn FROM v WHERE dg = 1 AND vx * vx + vy * vy > 0)
+    n AS (SELECT *, sqrt(vx * vx + vy * vy) AS vn FROM v WHERE dg <= 10 AND vx * vx + vy * vy > 0)
     SELECT a.clip, a.tid AS tid_a, b.tid AS tid_b, count(*) AS n, round(greatest(avg((a.vx * b.vx + a.vy * b.vy) / (a.vn * b.vn)), 0), 5) AS affinity
     FROM n a JOIN n b ON a.clip = b.clip AND a.g = b.g AND a.tid < b.tid GROUP BY ALL HAVING count(*) >= 5""")
 _PL = "pl AS (SELECT tid, min(player_id) AS player_id FROM connect_labels WHERE tid IS NOT NULL AND player_id >= 0 GROUP BY tid)"
