@@ -1,6 +1,6 @@
 """Per-frame game state: focus, kickoff readiness, walls, roles and fusion of views.
 
-Works on the coarse frames of a clip; the two teams are those of the tracklets
+Works on all placed rows of every frame; the two teams are those of the tracklets
 where these are given, else the parities of tid.  Frames with fewer than two moving players have no
 focus.  All closed forms stay in the JVM.
 """
@@ -11,19 +11,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kinelake.operators.pairs import _d2, _players, coarse, frame_pairs, inframe_dedup
+from kinelake.operators.pairs import _d2, _players, _teams, frame_pairs, framed, inframe_dedup
 from kinelake.operators.tracks import placed, r
 
 
-def velocities(t: DataFrame) -> DataFrame:
-    """Coarse rows with the velocity from the previous coarse frame (null across holes)."""
+def velocities(t: DataFrame, hole: int = 10) -> DataFrame:
+    """Placed rows with the velocity in metres a second from the track's previous row (null across holes of more frames)."""
     w = Window.partitionBy("tid").orderBy("g")
-    c = coarse(t).withColumns({"dg": F.col("g") - F.lag("g").over(w), "ux": F.col("x") - F.lag("x").over(w), "uy": F.col("y") - F.lag("y").over(w)})
-    ok = F.col("dg") == 1
-    return c.withColumns({"vx": F.when(ok, F.col("ux")), "vy": F.when(ok, F.col("uy"))}).withColumn("speed", F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))).drop("ux", "uy", "dg")
+    c = framed(t).withColumns({"dg": F.col("g") - F.lag("g").over(w), "ux": F.col("x") - F.lag("x").over(w), "uy": F.col("y") - F.lag("y").over(w)})
+    v = lambda u: F.when(F.col("dg") <= hole, F.col(u) * 25 / F.col("dg"))
+    return c.withColumns({"vx": v("ux"), "vy": v("uy")}).withColumn("speed", F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))).drop("ux", "uy", "dg")
 
 
-def convergence_point(t: DataFrame, least_speed: float = 0.05) -> DataFrame:
+def convergence_point(t: DataFrame, least_speed: float = 0.25) -> DataFrame:
     """Least-squares intersection of the movement rays; the centroid where they are nearly parallel."""
     m = velocities(t).where(f"speed >= {least_speed}").withColumns({"dx": F.col("vx") / F.col("speed"), "dy": F.col("vy") / F.col("speed")})
     s = lambda e: F.sum(F.expr(e))
@@ -37,14 +37,14 @@ def convergence_point(t: DataFrame, least_speed: float = 0.05) -> DataFrame:
 
 def focus_track(t: DataFrame, margin: float = 3.0) -> DataFrame:
     """The convergence point kept within the players' box and a margin."""
-    box = coarse(t).groupBy("clip", "g").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    box = framed(t).groupBy("clip", "g").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     j = convergence_point(t).join(box, ["clip", "g"])
     within = lambda c, a, b: r(F.least(F.greatest(F.col(c), F.col(a) - margin), F.col(b) + margin), 3)
     return j.select("clip", "g", within("px", "x0", "x1").alias("fx"), within("py", "y0", "y1").alias("fy"))
 
 
 def kickoff_readiness(t: DataFrame, tracklets: DataFrame | None = None) -> DataFrame:
-    """Readiness 0 to 1 of a coarse frame: teams split, centred, still; and the side of the centroid.
+    """Readiness 0 to 1 of a frame: teams split, centred, still; and the side of the centroid.
 
     With ``tracklets`` the teams are theirs, and tracks of unknown team belong to neither."""
     v = velocities(t)
@@ -53,16 +53,16 @@ def kickoff_readiness(t: DataFrame, tracklets: DataFrame | None = None) -> DataF
     if tracklets is None:
         v = v.withColumn("team", F.pmod("tid", F.lit(2)))
     else:
-        v = v.join(tracklets.where("tid is not null").groupBy("tid").agg(F.max("team").alias("team")), "tid", "left")
+        v = v.join(_teams(tracklets), "tid", "left")
     g = v.join(mid, "clip").groupBy("clip", "g").agg(F.avg(F.when(F.col("team") == 0, left)).alias("a"), F.avg(F.when(F.col("team") == 1, left)).alias("b"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg(F.coalesce("speed", F.lit(0.0))).alias("sp"), F.first("cx").alias("cx"), F.first("cy").alias("cy"))
     split = F.greatest(F.col("a") * (1 - F.col("b")), (1 - F.col("a")) * F.col("b"))
     d = F.sqrt((F.col("mx") - F.col("cx")) * (F.col("mx") - F.col("cx")) + (F.col("my") - F.col("cy")) * (F.col("my") - F.col("cy")))
-    return g.where("a is not null and b is not null").select("clip", "g", r(split * F.exp(-d / 10) * F.exp(-F.col("sp")), 5).alias("ready"), r(F.col("mx") - F.col("cx"), 4).alias("side"))
+    return g.where("a is not null and b is not null").select("clip", "g", r(split * F.exp(-d / 10) * F.exp(-F.col("sp") / 5), 5).alias("ready"), r(F.col("mx") - F.col("cx"), 4).alias("side"))
 
 
 def wall_pairs(t: DataFrame, reach: float = 14.0) -> DataFrame:
-    """Best two-player wall of a coarse frame: spacing near one metre and square to the length of the pitch."""
-    p = frame_pairs(coarse(t)).withColumn("d", F.sqrt(_d2())).where((F.col("d") <= reach) & (F.col("d") > 0))
+    """Best two-player wall of a frame: spacing near one metre and square to the length of the pitch."""
+    p = frame_pairs(framed(t)).withColumn("d", F.sqrt(_d2())).where((F.col("d") <= reach) & (F.col("d") > 0))
     s = F.round(F.sqrt(F.exp(-F.abs(F.col("d") - 1)) * F.abs(F.col("a.y") - F.col("b.y")) / F.col("d")), 6)
     b = p.groupBy("clip", "g").agg(F.max(F.struct(s.alias("s"), (-F.col("a.tid")).alias("na"), (-F.col("b.tid")).alias("nb"))).alias("w")).where("w.s > 0")
     return b.select("clip", "g", (-F.col("w.na")).alias("tid_a"), (-F.col("w.nb")).alias("tid_b"), F.col("w.s").alias("score"))
@@ -77,8 +77,8 @@ def circular_std(t: DataFrame) -> DataFrame:
 
 def spurious_rules(t: DataFrame) -> DataFrame:
     """First of five rules a track breaks, tried in the order doubled, still off the pitch, brief, still, off the field."""
-    dup = inframe_dedup(t).groupBy("tid").agg(F.count(F.lit(1)).alias("dups"))
-    n_c = coarse(t).groupBy("tid").agg(F.count(F.lit(1)).alias("cells"))
+    dup = inframe_dedup(t, clock=framed).groupBy("tid").agg(F.count(F.lit(1)).alias("dups"))
+    n_c = framed(t).groupBy("tid").agg(F.count(F.lit(1)).alias("cells"))
     g = t.groupBy("tid").agg(F.count(F.lit(1)).alias("n"), (F.max("t") - F.min("t")).alias("span"), F.stddev_pop("fx").alias("su"), F.stddev_pop("fy").alias("sv"), F.stddev_pop("x").alias("sx"), F.avg((~F.col("in_pitch")).cast("double")).alias("off"))
     j = g.join(n_c, "tid", "left").join(dup, "tid", "left").withColumn("share", F.coalesce(F.col("dups") / F.col("cells"), F.lit(0.0)))
     rule = F.when(F.col("share") > 0.5, "double_detection").when((F.col("off") > 0.5) & (F.col("sx") < 1), "off_pitch_stationary").when(F.col("n") < 12, "orphan_blip").when((F.col("span") >= 4) & (F.col("su") < 5) & (F.col("sv") < 5), "static_foreign").when(F.col("off") > 0.8, "off_field_persistent")
@@ -126,7 +126,7 @@ def coregister(t: DataFrame, limit: float = 10.0) -> DataFrame:
     """Per clip the median translation between mutually nearest rows of the two views, and the closed-form rotation."""
     from kinelake.operators.pairs import coreg_pairs
 
-    c = coarse(t).select("clip", "g", "tid", "x", "y")
+    c = framed(t).select("clip", "g", "tid", "x", "y")
     m = coreg_pairs(t, limit).join(c.select("clip", "g", F.col("tid").alias("tid_a"), F.col("x").alias("ax"), F.col("y").alias("ay")), ["clip", "g", "tid_a"]).join(c.select("clip", "g", F.col("tid").alias("tid_b"), F.col("x").alias("bx"), F.col("y").alias("by")), ["clip", "g", "tid_b"])
     w = m.groupBy("clip").agg(F.avg("ax").alias("ma"), F.avg("ay").alias("na"), F.avg("bx").alias("mb"), F.avg("by").alias("nb"))
     j = m.join(w, "clip").withColumns({"p": F.col("ax") - F.col("ma"), "q": F.col("ay") - F.col("na"), "u": F.col("bx") - F.col("mb"), "v": F.col("by") - F.col("nb")})
@@ -135,11 +135,11 @@ def coregister(t: DataFrame, limit: float = 10.0) -> DataFrame:
 
 
 def fused_tracks(t: DataFrame, labels: DataFrame, vmax: float = 8.0) -> DataFrame:
-    """Per player and clip the confidence-weighted track on the coarse clock and its length over plausible steps."""
-    c = coarse(t).join(_players(labels), "tid")
+    """Per player and clip the confidence-weighted track frame by frame and its length over plausible steps."""
+    c = framed(t).join(_players(labels), "tid")
     f = c.groupBy("clip", "player_id", "g").agg(F.sum("conf").alias("w"), F.sum(F.col("conf") * F.col("x")).alias("sx"), F.sum(F.col("conf") * F.col("y")).alias("sy"), F.countDistinct("tid").alias("k")).where("w > 0")
     f = f.select("clip", "player_id", "g", "k", (F.col("sx") / F.col("w")).alias("x"), (F.col("sy") / F.col("w")).alias("y"))
     w = Window.partitionBy("clip", "player_id").orderBy("g")
     dx, dy = F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)
-    s = f.withColumn("d", F.sqrt(dx * dx + dy * dy)).withColumn("dt", (F.col("g") - F.lag("g").over(w)) * 0.2)
+    s = f.withColumn("d", F.sqrt(dx * dx + dy * dy)).withColumn("dt", (F.col("g") - F.lag("g").over(w)) / 25.0)
     return s.groupBy("clip", "player_id").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("max_tracks"), r(F.sum(F.when(F.col("d") <= vmax * F.col("dt"), F.col("d")).otherwise(0.0)), 3).alias("dist"))

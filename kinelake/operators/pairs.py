@@ -2,14 +2,17 @@
 
 Pair joins never compare all with all: they are equi-joins on the clip and a
 time bucket, with exact predicates after; buckets are as wide as the largest
-gap asked for, and one side is given to the next bucket too.  ``coarse``
-brings the sparse, uneven frames of a clip to a common clock of a few frames
-first and keeps one row per track and step; ``framed`` keeps every row.  Rows
-without a place take no part.
+gap asked for, and one side is given to the next bucket too.  Rows are compared
+in their own frame (``framed``), all of them; only the sequential kernels that
+need one step after the other use ``coarse``, one row per track and few
+frames.  Rows without a place take no part.  Spans of time are in frames of a
+clock of 25 a second.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,19 +39,19 @@ def _d2(a: str = "a", b: str = "b") -> Column:
 
 
 def frame_pairs(c: DataFrame) -> DataFrame:
-    """Pairs a.tid < b.tid of rows in the same coarse frame."""
+    """Pairs a.tid < b.tid of rows in the same frame."""
     a, b = c.select("clip", "g", F.struct("tid", "x", "y", "conf", "box_h").alias("a")), c.select("clip", "g", F.struct("tid", "x", "y", "conf", "box_h").alias("b"))
     return a.join(b, ["clip", "g"]).where("a.tid < b.tid")
 
 
 def encounter_pairs(t: DataFrame, radius: float = 1.5) -> DataFrame:
-    p = frame_pairs(coarse(t)).where(_d2() < radius * radius)
+    p = frame_pairs(framed(t)).where(_d2() < radius * radius)
     return p.groupBy("clip", F.col("a.tid").alias("tid_a"), F.col("b.tid").alias("tid_b")).agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("g0"), F.max("g").alias("g1"))
 
 
-def encounter_events(t: DataFrame, radius: float = 3.0, gap: int = 5, seam: int = 10) -> DataFrame:
+def encounter_events(t: DataFrame, radius: float = 3.0, gap: int = 25, seam: int = 50) -> DataFrame:
     """Encounters merged over short gaps; a seam risk if a member ends near the last one."""
-    c = coarse(t)
+    c = framed(t)
     p = frame_pairs(c).where(_d2() < radius * radius).select("clip", F.col("a.tid").alias("tid_a"), F.col("b.tid").alias("tid_b"), "g")
     w = Window.partitionBy("clip", "tid_a", "tid_b").orderBy("g")
     n = p.withColumn("new", (F.coalesce(F.col("g") - F.lag("g").over(w), F.lit(10**6)) > gap).cast("int")).withColumn("event", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -59,16 +62,17 @@ def encounter_events(t: DataFrame, radius: float = 3.0, gap: int = 5, seam: int
     return j.select("clip", "tid_a", "tid_b", "event", "g0", "g1", (final & (F.least("la", "lb") - F.col("g1") <= seam)).alias("seam_risk"))
 
 
-def inframe_dedup(t: DataFrame, radius: float = 2.0) -> DataFrame:
-    """Single-hop rule: a row falls to a better one (conf * box_h, then smaller tid) within the radius in its frame."""
-    p = frame_pairs(coarse(t)).where(_d2() < radius * radius)
+def inframe_dedup(t: DataFrame, radius: float = 2.0, clock: Callable[[DataFrame], DataFrame] = coarse) -> DataFrame:
+    """Single-hop rule: a row falls to a better one (conf * box_h, then smaller tid)
+    within the radius in its step of the clock (``framed``: every row in its own frame)."""
+    p = frame_pairs(clock(t)).where(_d2() < radius * radius)
     sa, sb = F.round(F.col("a.conf") * F.col("a.box_h"), 6), F.round(F.col("b.conf") * F.col("b.box_h"), 6)
     return p.select("clip", "g", F.when(sa >= sb, F.col("b.tid")).otherwise(F.col("a.tid")).alias("tid")).distinct()
 
 
 def tile_antijoin(t: DataFrame, conf: float = 0.3, radius: float = 28.0) -> DataFrame:
     """Weak detections without a strong one near their foot in the same frame."""
-    c = coarse(t)
+    c = framed(t)
     weak, strong = c.where(F.col("conf") < conf).alias("w"), c.where(F.col("conf") >= conf).alias("s")
     near = (F.col("w.fx") - F.col("s.fx")) * (F.col("w.fx") - F.col("s.fx")) + (F.col("w.fy") - F.col("s.fy")) * (F.col("w.fy") - F.col("s.fy")) < radius * radius
     return weak.join(strong, (F.col("w.clip") == F.col("s.clip")) & (F.col("w.g") == F.col("s.g")) & near, "left_anti").select("clip", "g", "tid")
@@ -79,8 +83,8 @@ def _focus(c: DataFrame) -> DataFrame:
 
 
 def greedy_owner(t: DataFrame) -> DataFrame:
-    """Nearest track to the focus of each coarse frame (ties: smaller tid)."""
-    c = coarse(t)
+    """Nearest track to the focus of each frame (ties: smaller tid)."""
+    c = framed(t)
     j = c.join(_focus(c), ["clip", "g"]).withColumn("d", F.round(F.sqrt((F.col("x") - F.col("mx")) * (F.col("x") - F.col("mx")) + (F.col("y") - F.col("my")) * (F.col("y") - F.col("my"))), 6))
     return j.groupBy("clip", "g").agg(F.min(F.struct("d", "tid")).alias("b")).select("clip", "g", F.col("b.tid").alias("owner"), F.col("b.d").alias("d"))
 
@@ -91,28 +95,38 @@ def possession_share(t: DataFrame) -> DataFrame:
     return n.select("clip", "owner", "n", r(F.col("n") / F.sum("n").over(Window.partitionBy("clip"))).alias("share"))
 
 
-def handoff_events(t: DataFrame, within: int = 10) -> DataFrame:
-    """Change of owner between coarse frames: pass within a team (parity of tid), else turnover."""
+def _handoffs(t: DataFrame, within: int) -> DataFrame:
     w = Window.partitionBy("clip").orderBy("g")
-    o = greedy_owner(t).withColumns({"was": F.lag("owner").over(w), "wg": F.lag("g").over(w)}).where(f"was <> owner and g - wg <= {within}")
-    return o.select("clip", "g", F.col("was").alias("from_tid"), F.col("owner").alias("to_tid"), F.when(F.col("was") % 2 == F.col("owner") % 2, "pass").otherwise("turnover").alias("kind"))
+    return greedy_owner(t).withColumns({"was": F.lag("owner").over(w), "wg": F.lag("g").over(w)}).where(f"was <> owner and g - wg <= {within}")
+
+
+def _teams(tracklets: DataFrame) -> DataFrame:
+    return tracklets.where("tid is not null").groupBy("tid").agg(F.max("team").alias("team"))
+
+
+def handoff_events(t: DataFrame, tracklets: DataFrame, within: int = 50) -> DataFrame:
+    """Change of owner between frames: pass within a team of the tracklets, else turnover; unknown where a team is."""
+    team = _teams(tracklets)
+    o = _handoffs(t, within).join(team.select(F.col("tid").alias("was"), F.col("team").alias("a")), "was", "left").join(team.select(F.col("tid").alias("owner"), F.col("team").alias("b")), "owner", "left")
+    kind = F.when(F.col("a").isNull() | F.col("b").isNull(), "unknown").when(F.col("a") == F.col("b"), "pass").otherwise("turnover")
+    return o.select("clip", "g", F.col("was").alias("from_tid"), F.col("owner").alias("to_tid"), kind.alias("kind"))
 
 
-def transition_matrix(t: DataFrame) -> DataFrame:
+def transition_matrix(t: DataFrame, within: int = 50) -> DataFrame:
     """Symmetric counts of handoffs between two tracks."""
-    h = handoff_events(t)
-    return h.groupBy("clip", F.least("from_tid", "to_tid").alias("a"), F.greatest("from_tid", "to_tid").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    h = _handoffs(t, within)
+    return h.groupBy("clip", F.least("was", "owner").alias("a"), F.greatest("was", "owner").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def overlap_distance(t: DataFrame, least: int = 5, limit: float = 1e9) -> DataFrame:
-    """Median distance of two tracks over their common coarse frames."""
-    p = frame_pairs(coarse(t)).groupBy("clip", F.col("a.tid").alias("tid_a"), F.col("b.tid").alias("tid_b")).agg(F.count(F.lit(1)).alias("n"), F.median(F.sqrt(_d2())).alias("d"))
+    """Median distance of two tracks over their common frames."""
+    p = frame_pairs(framed(t)).groupBy("clip", F.col("a.tid").alias("tid_a"), F.col("b.tid").alias("tid_b")).agg(F.count(F.lit(1)).alias("n"), F.median(F.sqrt(_d2())).alias("d"))
     return p.where((F.col("n") >= least) & (F.col("d") <= limit)).select("clip", "tid_a", "tid_b", "n", r("d", 4).alias("median_d"))
 
 
 def coreg_pairs(t: DataFrame, limit: float = 10.0) -> DataFrame:
-    """Mutually nearest rows of two sources (parity of tid) in a coarse frame."""
-    c = coarse(t)
+    """Mutually nearest rows of two sources (parity of tid) in a frame."""
+    c = framed(t)
     a, b = c.where("tid % 2 = 0").select("clip", "g", F.struct("tid", "x", "y").alias("a")), c.where("tid % 2 = 1").select("clip", "g", F.struct("tid", "x", "y").alias("b"))
     p = a.join(b, ["clip", "g"]).withColumn("d", F.round(F.sqrt(_d2()), 6))
     ra = F.row_number().over(Window.partitionBy("clip", "g", "a.tid").orderBy("d", "b.tid"))
@@ -180,26 +194,29 @@ def audit_seams(t: DataFrame, margin: float = 0.2) -> DataFrame:
 
 def crossings(t: DataFrame, near: float = 2.0, apart: float = 3.0) -> DataFrame:
     """Pairs that come close and are apart before and after."""
-    d = frame_pairs(coarse(t)).select("clip", F.col("a.tid").alias("tid_a"), F.col("b.tid").alias("tid_b"), "g", F.round(F.sqrt(_d2()), 6).alias("d"))
+    d = frame_pairs(framed(t)).select("clip", F.col("a.tid").alias("tid_a"), F.col("b.tid").alias("tid_b"), "g", F.round(F.sqrt(_d2()), 6).alias("d"))
     m = d.groupBy("clip", "tid_a", "tid_b").agg(F.min(F.struct("d", "g")).alias("m")).where(F.col("m.d") <= near)
     j = d.join(m, ["clip", "tid_a", "tid_b"])
     g = j.groupBy("clip", "tid_a", "tid_b").agg(F.first("m.g").alias("g"), F.first("m.d").alias("min_d"), F.max(F.when(F.col("g") < F.col("m.g"), F.col("d"))).alias("before"), F.max(F.when(F.col("g") > F.col("m.g"), F.col("d"))).alias("after"))
     return g.where((F.col("before") > apart) & (F.col("after") > apart)).select("clip", "tid_a", "tid_b", "g", "min_d")
 
 
-def resolves(t: DataFrame, reach: int = 4, radius: float = 8.0) -> DataFrame:
-    """How many other tracks cover each crossing's time near its place."""
-    c = coarse(t)
+def resolves(t: DataFrame, reach: int = 20, radius: float = 8.0) -> DataFrame:
+    """How many other tracks are seen within the radius of each crossing, up to ``reach`` frames away."""
+    c = framed(t).select("clip", "tid", "g", "x", "y")
     x = crossings(t).join(c.select("clip", F.col("tid").alias("tid_a"), "g", "x", "y"), ["clip", "tid_a", "g"])
-    spans = c.groupBy("clip", F.col("tid").alias("o")).agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.avg("x").alias("ox"), F.avg("y").alias("oy"))
-    j = x.join(spans, "clip").where((F.col("o") != F.col("tid_a")) & (F.col("o") != F.col("tid_b")) & (F.col("g0") <= F.col("g") + reach) & (F.col("g1") >= F.col("g") - reach) & ((F.col("ox") - F.col("x")) * (F.col("ox") - F.col("x")) + (F.col("oy") - F.col("y")) * (F.col("oy") - F.col("y")) <= radius * radius))
-    return j.groupBy("clip", "tid_a", "tid_b").agg(F.count(F.lit(1)).alias("n_witnesses"))
+    bucket = lambda g: F.floor(g / reach).cast("int")
+    x = x.withColumn("bucket", F.explode(F.array(*[bucket(F.col("g")) + k for k in (-1, 0, 1)])))
+    o = c.select("clip", bucket(F.col("g")).alias("bucket"), F.struct("tid", "g", "x", "y").alias("o"))
+    near = (F.col("o.x") - F.col("x")) * (F.col("o.x") - F.col("x")) + (F.col("o.y") - F.col("y")) * (F.col("o.y") - F.col("y")) <= radius * radius
+    j = x.join(o, ["clip", "bucket"]).where((F.col("o.tid") != F.col("tid_a")) & (F.col("o.tid") != F.col("tid_b")) & (F.abs(F.col("o.g") - F.col("g")) <= reach) & near)
+    return j.groupBy("clip", "tid_a", "tid_b").agg(F.countDistinct("o.tid").alias("n_witnesses"))
 
 
 def comotion_affinity(t: DataFrame, least: int = 5) -> DataFrame:
-    """Mean cosine of velocities on common coarse frames; negative affinities count as zero."""
+    """Mean cosine of velocities on common frames; negative affinities count as zero."""
     w = Window.partitionBy("tid").orderBy("g")
-    c = coarse(t).withColumns({"vx": F.col("x") - F.lag("x").over(w), "vy": F.col("y") - F.lag("y").over(w), "dg": F.col("g") - F.lag("g").over(w)}).where("dg = 1")
+    c = framed(t).withColumns({"vx": F.col("x") - F.lag("x").over(w), "vy": F.col("y") - F.lag("y").over(w), "dg": F.col("g") - F.lag("g").over(w)}).where("dg <= 10")
     c = c.withColumn("vn", F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))).where("vn > 0")
     a, b = (c.select("clip", "g", F.struct("tid", "vx", "vy", "vn").alias(n)) for n in "ab")
     cos = (F.col("a.vx") * F.col("b.vx") + F.col("a.vy") * F.col("b.vy")) / (F.col("a.vn") * F.col("b.vn"))
@@ -252,8 +269,8 @@ def player_gaps(t: DataFrame, labels: DataFrame, bridgeable: int = 25) -> DataFr
 
 
 def trim_overlaps(t: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of a player's later tracks in coarse frames an earlier one already has."""
-    c = coarse(t).join(_players(labels), "tid")
+    """Rows of a player's later tracks in frames an earlier one already has."""
+    c = framed(t).join(_players(labels), "tid")
     first = F.min("g").over(Window.partitionBy("tid"))
     k = F.row_number().over(Window.partitionBy("clip", "player_id", "g").orderBy("first_g", "tid"))
     return c.withColumn("first_g", first).withColumn("k", k).where("k > 1").select("player_id", "tid", "g")
@@ -293,8 +310,8 @@ def medoid(embeddings: DataFrame) -> DataFrame:
 
 
 def team_shape(t: DataFrame) -> DataFrame:
-    """Width, depth and mean nearest-neighbour distance of the tracks in a coarse frame."""
-    c = coarse(t)
+    """Width, depth and mean nearest-neighbour distance of the tracks in a frame."""
+    c = framed(t)
     p = frame_pairs(c).withColumn("d", F.sqrt(_d2()))
     each = p.select("clip", "g", F.explode(F.array("a.tid", "b.tid")).alias("tid"), "d").groupBy("clip", "g", "tid").agg(F.min("d").alias("nn"))
     nn = each.groupBy("clip", "g").agg(F.avg("nn").alias("nn"))

@@ -341,7 +341,7 @@ def kickoff_events(t: DataFrame, tracklets: DataFrame) -> DataFrame:
     s = kickoff_readiness(t, tracklets).withColumn("ck", F.xxhash64("clip"))
 
     def fn(g: dict) -> dict:
-        f = K.kickoff_events(g["g"] * 5, g["ready"], g["side"])
+        f = K.kickoff_events(g["g"], g["ready"], g["side"])
         return {"ck": np.full(len(f), g["ck"][0]), "frame": np.array(f, int)}
 
     got = _by(s.select("ck", "g", "ready", "side"), ["ck"], ["g"], fn, "ck bigint, frame int")

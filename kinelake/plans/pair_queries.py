@@ -21,7 +21,7 @@ Q.on("encounter_events", "t", op.encounter_events, f"""WITH {_P}, n AS (SELECT *
     SELECT clip, tid_a, tid_b, event, CAST(g0 AS INTEGER) AS g0, CAST(g1 AS INTEGER) AS g1,
         g1 = max(g1) OVER (PARTITION BY clip, tid_a, tid_b) AND least(la.last_g, lb.last_g) - g1 <= 50 AS seam_risk
     FROM e JOIN l la ON la.tid = tid_a JOIN l lb ON lb.tid = tid_b""")
-Q.on("inframe_dedup", "t", op.inframe_dedup, f"WITH {_P} SELECT DISTINCT clip, {_INT}, CASE WHEN sa >= sb THEN tid_b ELSE tid_a END AS tid FROM p WHERE d2 < 4")
+Q.on("inframe_dedup", "t", lambda t: op.inframe_dedup(t, clock=op.framed), f"WITH {_P} SELECT DISTINCT clip, {_INT}, CASE WHEN sa >= sb THEN tid_b ELSE tid_a END AS tid FROM p WHERE d2 < 4")
 Q.on("tile_antijoin", "t", op.tile_antijoin, f"""WITH {_C} SELECT clip, {_INT}, tid FROM c w WHERE conf < CAST(0.3 AS DOUBLE)
     AND NOT EXISTS (SELECT 1 FROM c s WHERE s.conf >= CAST(0.3 AS DOUBLE) AND s.clip = w.clip AND s.g = w.g AND (w.fx - s.fx) * (w.fx - s.fx) + (w.fy - s.fy) * (w.fy - s.fy) < 784)""")
 _O = _C + """, f AS (SELECT clip, g, avg(x) AS mx, avg(y) AS my FROM c GROUP BY clip, g HAVING count(*) >= 2),
