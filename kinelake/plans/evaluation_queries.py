@@ -33,19 +33,20 @@ Q.on("heldout_eval", _TGT, op.heldout_eval, f"WITH {_AP} SELECT * FROM res")
 Q.on("average_precision", _TGT, op.average_precision, f"WITH {_AP} SELECT ap, recall, n_gt, n_pred FROM res WHERE grp = 'all'")
 Q.on("recall_regions", _TGT, op.recall_regions, f"""WITH {_BASE}, g AS (SELECT *, CASE WHEN gy1 < 360 THEN 'far' WHEN gy1 < 560 THEN 'mid' ELSE 'near' END AS region FROM truth)
     SELECT region, count(*) AS n_gt, round(avg(CASE WHEN EXISTS (SELECT 1 FROM pred p WHERE p.clip = g.clip AND p.slot = g.slot AND ((gx0 + gx1) / 2 - (x0 + x1) / 2) * ((gx0 + gx1) / 2 - (x0 + x1) / 2) + (gy1 - y1) * (gy1 - y1) <= 3025) THEN 1.0 ELSE 0.0 END), 6) AS recall FROM g GROUP BY region""")
-_HIT = "(SELECT det_id, cam, CASE WHEN EXISTS (SELECT 1 FROM pred p WHERE p.clip = g.clip AND p.slot = g.slot AND p.conf >= CAST({c} AS DOUBLE)) THEN 1.0 ELSE 0.0 END AS hit FROM truth g JOIN cams USING (clip))"
+_NEAR = "((gx0 + gx1) / 2 - (x0 + x1) / 2) * ((gx0 + gx1) / 2 - (x0 + x1) / 2) + (gy1 - y1) * (gy1 - y1) <= 3025"
+_HIT = "(SELECT det_id, cam, CASE WHEN EXISTS (SELECT 1 FROM pred p WHERE p.clip = g.clip AND p.slot = g.slot AND p.conf >= CAST({c} AS DOUBLE) AND " + _NEAR + ") THEN 1.0 ELSE 0.0 END AS hit FROM truth g JOIN cams USING (clip))"
 _CAMS = "cams AS (SELECT clip, min(cam) AS cam FROM t GROUP BY clip)"
 Q.on("regression_gate", _TGT, op.regression_gate, f"""WITH {_BASE}, {_CAMS}, b AS (SELECT cam, avg(hit) AS base, count(*) AS n FROM {_HIT.format(c=0.3)} GROUP BY cam), w AS (SELECT cam, avg(hit) AS new FROM {_HIT.format(c=0.6)} GROUP BY cam)
     SELECT cam, n, round(base, 6) AS base_recall, round(new, 6) AS new_recall, CASE WHEN n < 2 THEN 'blocked' WHEN round(new - base, 6) < CAST(-0.05 AS DOUBLE) THEN 'rollback' ELSE 'keep' END AS decision FROM b JOIN w USING (cam)""")
 Q.on("kfold_delta", _TGT, op.kfold_delta, f"""WITH {_BASE}, {_CAMS}, a AS (SELECT det_id, hit AS h1 FROM {_HIT.format(c=0.0)}), b AS (SELECT det_id, hit AS h0 FROM {_HIT.format(c=0.5)})
     SELECT det_id % 5 AS fold, count(*) AS n, round(avg(h1) - avg(h0), 6) AS delta FROM a JOIN b USING (det_id) GROUP BY 1""")
-Q.on("config_search", _TGT, op.config_search, f"""WITH {_BASE}, top AS (SELECT clip, slot, max(conf) AS top FROM pred GROUP BY clip, slot),
-    h AS (SELECT floor(coalesce(top, 0) * 1000) AS b FROM truth LEFT JOIN top USING (clip, slot)), grid AS (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) / 10 AS threshold)
+Q.on("config_search", _TGT, op.config_search, f"""WITH {_BASE}, top AS (SELECT det_id, max(conf) AS top FROM truth g JOIN pred p ON p.clip = g.clip AND p.slot = g.slot AND {_NEAR} GROUP BY det_id),
+    h AS (SELECT floor(coalesce(top, 0) * 1000) AS b FROM truth LEFT JOIN top USING (det_id)), grid AS (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) / 10 AS threshold)
     SELECT threshold, round(avg(CASE WHEN b >= round(threshold * 1000) THEN 1.0 ELSE 0.0 END), 6) AS recall FROM h, grid GROUP BY threshold""")
 Q.on("reconcile_median", "t", op.reconcile_median, """
     WITH s AS (SELECT clip, CAST(floor(t * 2) AS INTEGER) AS slot, count(*) FILTER (conf >= CAST(0.2 AS DOUBLE)) AS a, count(*) FILTER (conf >= CAST(0.4 AS DOUBLE)) AS b, count(*) FILTER (conf >= CAST(0.6 AS DOUBLE)) AS c FROM t WHERE t IS NOT NULL GROUP BY 1, 2)
     SELECT clip, slot, b AS median_n, c || ',' || b || ',' || a AS counts FROM s""")
-Q.on("recall_band", _TGT, op.recall_band, f"""WITH {_BASE}, g AS (SELECT clip, CASE WHEN gy1 - gy0 < 60 THEN 1 ELSE 0 END AS amb, CASE WHEN EXISTS (SELECT 1 FROM pred p WHERE p.clip = truth.clip AND p.slot = truth.slot) THEN 1 ELSE 0 END AS hit FROM truth),
+Q.on("recall_band", _TGT, op.recall_band, f"""WITH {_BASE}, g AS (SELECT clip, CASE WHEN gy1 - gy0 < 60 THEN 1 ELSE 0 END AS amb, CASE WHEN EXISTS (SELECT 1 FROM pred p WHERE p.clip = truth.clip AND p.slot = truth.slot AND {_NEAR}) THEN 1 ELSE 0 END AS hit FROM truth),
     s AS (SELECT clip, count(*) AS h, sum(amb) AS a, sum(hit) AS c FROM g GROUP BY clip)
     SELECT clip, h, round(c * 100 / h, 4) AS lo, round(CASE WHEN h > a THEN least(100, c * 100 / (h - a)) END, 4) AS hi FROM s""")
 _CT = "ct AS (SELECT CAST(label AS INTEGER) AS gt, CAST(embedding[1] > 0 AS INTEGER) * 4 + CAST(embedding[2] > 0 AS INTEGER) * 2 + CAST(embedding[3] > 0 AS INTEGER) AS pred, count(*) AS n FROM embeddings WHERE label IS NOT NULL AND len(embedding) >= 3 GROUP BY 1, 2)"
