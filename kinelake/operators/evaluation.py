@@ -74,44 +74,45 @@ def average_precision(t: DataFrame, gt: DataFrame, tracklets: DataFrame) -> Data
     return heldout_eval(t, gt, tracklets).where("grp = 'all'").select("ap", "recall", "n_gt", "n_pred")
 
 
+def _near(t: DataFrame, gt: DataFrame, tracklets: DataFrame, radius: float = 55.0) -> DataFrame:
+    """det_id, conf: the best confidence of a prediction whose foot is near that of the truth in its slot."""
+    p = predictions(t).select("clip", "slot", "conf", ((F.col("x0") + F.col("x1")) / 2).alias("px"), F.col("y1").alias("py"))
+    dx, dy = (F.col("gx0") + F.col("gx1")) / 2 - F.col("px"), F.col("gy1") - F.col("py")
+    j = truths(gt, tracklets).join(p, ["clip", "slot"]).where(dx * dx + dy * dy <= radius * radius)
+    return j.groupBy("det_id").agg(F.max("conf").alias("conf"))
+
+
 def recall_regions(t: DataFrame, gt: DataFrame, tracklets: DataFrame, radius: float = 55.0) -> DataFrame:
     """Recall per image region: truths with a prediction's foot near theirs in the slot."""
     g = truths(gt, tracklets).withColumn("region", F.when(F.col("gy1") < 360, "far").when(F.col("gy1") < 560, "mid").otherwise("near"))
-    p = predictions(t).select("clip", "slot", ((F.col("x0") + F.col("x1")) / 2).alias("px"), F.col("y1").alias("py"))
-    dx, dy = (F.col("gx0") + F.col("gx1")) / 2 - F.col("px"), F.col("gy1") - F.col("py")
-    hit = g.join(p, ["clip", "slot"]).where(dx * dx + dy * dy <= radius * radius).select("det_id").distinct().withColumn("hit", F.lit(1))
-    return g.join(hit, "det_id", "left").groupBy("region").agg(F.count(F.lit(1)).alias("n_gt"), r(F.avg(F.coalesce("hit", F.lit(0)).cast("double"))).alias("recall"))
+    return g.join(_near(t, gt, tracklets, radius), "det_id", "left").groupBy("region").agg(F.count(F.lit(1)).alias("n_gt"), r(F.avg(F.col("conf").isNotNull().cast("double"))).alias("recall"))
 
 
-def _recall_by_cam(t: DataFrame, gt: DataFrame, tracklets: DataFrame, conf: float) -> DataFrame:
-    p = predictions(t).where(F.col("conf") >= conf).select("clip", "slot").distinct().withColumn("hit", F.lit(1))
+def _recall_by_cam(t: DataFrame, gt: DataFrame, tracklets: DataFrame, confs: dict[str, float]) -> DataFrame:
+    """det_id, cam and, per name, whether a prediction of at least that confidence is near."""
     cams = t.groupBy("clip").agg(F.min("cam").alias("cam"))
-    return truths(gt, tracklets).join(cams, "clip").join(p, ["clip", "slot"], "left").select("det_id", "cam", F.coalesce("hit", F.lit(0)).alias("hit"))
+    j = truths(gt, tracklets).join(cams, "clip").join(_near(t, gt, tracklets), "det_id", "left")
+    return j.select("det_id", "cam", *[F.coalesce((F.col("conf") >= c).cast("double"), F.lit(0.0)).alias(n) for n, c in confs.items()])
 
 
 def regression_gate(t: DataFrame, gt: DataFrame, tracklets: DataFrame, drop: float = 0.05) -> DataFrame:
     """Compare a stricter with the base configuration per camera: keep or roll back."""
-    base = _recall_by_cam(t, gt, tracklets, 0.3).groupBy("cam").agg(F.avg(F.col("hit").cast("double")).alias("base"), F.count(F.lit(1)).alias("n"))
-    new = _recall_by_cam(t, gt, tracklets, 0.6).groupBy("cam").agg(F.avg(F.col("hit").cast("double")).alias("new"))
+    g = _recall_by_cam(t, gt, tracklets, {"base": 0.3, "new": 0.6}).groupBy("cam").agg(F.avg("base").alias("base"), F.avg("new").alias("new"), F.count(F.lit(1)).alias("n"))
     d = F.col("new") - F.col("base")
-    return base.join(new, "cam").select("cam", "n", r("base").alias("base_recall"), r("new").alias("new_recall"), F.when(F.col("n") < 2, "blocked").when(F.round(d, 6) < -drop, "rollback").otherwise("keep").alias("decision"))
+    return g.select("cam", "n", r("base").alias("base_recall"), r("new").alias("new_recall"), F.when(F.col("n") < 2, "blocked").when(F.round(d, 6) < -drop, "rollback").otherwise("keep").alias("decision"))
 
 
 def kfold_delta(t: DataFrame, gt: DataFrame, tracklets: DataFrame, folds: int = 5) -> DataFrame:
     """Recall with and without weak detections per deterministic fold (det_id modulo)."""
-    on, off = _recall_by_cam(t, gt, tracklets, 0.0), _recall_by_cam(t, gt, tracklets, 0.5)
-    j = on.select("det_id", F.col("hit").alias("on")).join(off.select("det_id", F.col("hit").alias("off")), "det_id")
-    return j.groupBy((F.col("det_id") % folds).alias("fold")).agg(F.count(F.lit(1)).alias("n"), r(F.avg(F.col("on").cast("double")) - F.avg(F.col("off").cast("double"))).alias("delta"))
+    j = _recall_by_cam(t, gt, tracklets, {"on": 0.0, "off": 0.5})
+    return j.groupBy((F.col("det_id") % folds).alias("fold")).agg(F.count(F.lit(1)).alias("n"), r(F.avg("on") - F.avg("off")).alias("delta"))
 
 
 def config_search(t: DataFrame, gt: DataFrame, tracklets: DataFrame) -> DataFrame:
-    """Share of truths whose clip and slot hold any prediction at each confidence threshold of a small grid, as the SQL counterpart states; not matched by place, no false positives, no ranking."""
-    spark = t.sparkSession
-    grid = spark.range(1, 8).select((F.col("id") / 10).alias("threshold"))
-    g = truths(gt, tracklets)
-    top = predictions(t).groupBy("clip", "slot").agg(F.max("conf").alias("top"))
-    hits = g.join(top, ["clip", "slot"], "left").groupBy(F.floor(F.coalesce("top", F.lit(0.0)) * 1000).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    s = grid.crossJoin(F.broadcast(hits)).groupBy("threshold").agg(F.sum("n").alias("n_gt"), F.sum(F.when(F.col("b") >= F.round(F.col("threshold") * 1000), F.col("n")).otherwise(0)).alias("hit"))
+    """Recall at each confidence threshold of a small grid, from one histogram of the confidences; no false positives, no ranking."""
+    grid = t.sparkSession.range(1, 8).select((F.col("id") / 10).alias("threshold"))
+    hits = truths(gt, tracklets).join(_near(t, gt, tracklets), "det_id", "left").groupBy(F.floor(F.coalesce("conf", F.lit(0.0)) * 1000).alias("b")).agg(F.count(F.lit(1)).alias("n"))  # at most 1001 rows
+    s = hits.crossJoin(F.broadcast(grid)).groupBy("threshold").agg(F.sum("n").alias("n_gt"), F.sum(F.when(F.col("b") >= F.round(F.col("threshold") * 1000), F.col("n")).otherwise(0)).alias("hit"))
     return s.select("threshold", r(F.col("hit") / F.col("n_gt")).alias("recall"))
 
 
@@ -126,8 +127,7 @@ def reconcile_median(t: DataFrame) -> DataFrame:
 def recall_band(t: DataFrame, gt: DataFrame, tracklets: DataFrame) -> DataFrame:
     """Band of recall when ambiguous truths (small boxes) may be left out, capped at 100."""
     g = truths(gt, tracklets).withColumn("ambiguous", (F.col("gy1") - F.col("gy0") < 60).cast("int"))
-    p = predictions(t).select("clip", "slot").distinct().withColumn("hit", F.lit(1))
-    s = g.join(p, ["clip", "slot"], "left").groupBy("clip").agg(F.count(F.lit(1)).alias("h"), F.sum("ambiguous").alias("a"), F.count("hit").alias("c"))
+    s = g.join(_near(t, gt, tracklets), "det_id", "left").groupBy("clip").agg(F.count(F.lit(1)).alias("h"), F.sum("ambiguous").alias("a"), F.count("conf").alias("c"))
     return s.select("clip", "h", r(F.col("c") * 100 / F.col("h"), 4).alias("lo"), r(F.when(F.col("h") > F.col("a"), F.least(F.lit(100.0), F.col("c") * 100 / (F.col("h") - F.col("a")))), 4).alias("hi"))
 
 
