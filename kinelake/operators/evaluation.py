@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kinelake.operators.tracks import r
+from kinelake.operators.tracks import EXTENT, _extent, r
 
 
 def _slot(c: str = "t") -> Column:
@@ -178,8 +178,7 @@ def selection_weights(t: DataFrame, floor: float = 0.05, gap_weight: float = 0.5
 def _halves(t: DataFrame, bins: int = 8) -> DataFrame:
     """Rows of both halves of each camera's pitch with the far half mirrored: half, bin of depth, bin of width."""
     p = t.where("x is not null and y is not null")
-    q = lambda c, v: F.round(F.percentile(c, F.lit(v)), 6)
-    e = p.groupBy("cam").agg(q("x", 0.005).alias("x0"), q("x", 0.995).alias("x1"), q("y", 0.005).alias("y0"), q("y", 0.995).alias("y1"))
+    e = _extent(p).select("cam", *[F.round(c, 6).alias(c) for c in EXTENT])
     j = p.join(e, "cam").where("x between x0 and x1 and y between y0 and y1 and x1 > x0 and y1 > y0")
     u = F.round((F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0")), 9)
     side = F.when(u < 0.5, 0).otherwise(1)

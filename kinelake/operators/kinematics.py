@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kinelake.functions.ranks import exact_percentiles
 from kinelake.operators.tracks import by_frame, placed, r, step, window_median
 
 
@@ -23,8 +24,8 @@ def _moving(t: DataFrame) -> DataFrame:
 def kinematics_global(t: DataFrame, factor: float = 6.0, max_dt: float = 1.0) -> DataFrame:
     """Distance per track; steps above ``factor`` times the global median speed are bad."""
     s = _moving(t)
-    cap = s.where(f"v is not null and dt <= {max_dt}").agg((factor * F.median("v")).alias("cap"))
-    j = s.crossJoin(cap)  # one row
+    cap = exact_percentiles(s.where(f"v is not null and dt <= {max_dt}").select("v"), [], {"m": ("v", 0.5)}).select((factor * F.col("m")).alias("cap"))
+    j = s.crossJoin(F.broadcast(cap))  # one row
     bad = F.col("seg").isNotNull() & ((F.coalesce("dt", F.lit(0.0)) <= 0) | (F.col("dt") > max_dt) | (F.col("v") > F.col("cap")))
     good = F.col("seg").isNotNull() & ~bad
     return j.groupBy("tid").agg(F.count("seg").alias("segments"), F.sum(bad.cast("int")).alias("bad"), r(F.sum(F.when(good, F.col("seg")).otherwise(0.0)), 4).alias("dist_raw"), r(F.sum(F.when(good, F.col("seg") * F.least(F.coalesce("conf", F.lit(0.0)) / 0.7, F.lit(1.0))).otherwise(0.0)), 4).alias("dist_weighted"))

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from kinelake.functions.ranks import exact_percentiles
+
 ROUND = 6
 
 
@@ -61,7 +63,8 @@ def detections_to_rows(t: DataFrame, least_ratio: float = 1.3, frame_bottom: flo
 
 def far_band(t: DataFrame) -> DataFrame:
     """Rows of the image holding far players: 1st to 40th percentile of foot_y, widened by 4 % of the span."""
-    s = t.where("fy is not null").groupBy("cam").agg(F.percentile("fy", F.lit(0.01)).alias("a"), F.percentile("fy", F.lit(0.4)).alias("b"), (F.max("fy") - F.min("fy")).alias("span"))
+    p = t.where("fy is not null").select("cam", "fy")
+    s = exact_percentiles(p, ["cam"], {"a": ("fy", 0.01), "b": ("fy", 0.4)}).join(p.groupBy("cam").agg((F.max("fy") - F.min("fy")).alias("span")), "cam")
     return s.select("cam", F.floor(F.col("a") - 0.04 * F.col("span")).cast("int").alias("lo"), F.ceil(F.col("b") + 0.04 * F.col("span")).cast("int").alias("hi"))
 
 
@@ -73,7 +76,7 @@ def zone_fixed(t: DataFrame) -> DataFrame:
 def zone_tercile(t: DataFrame) -> DataFrame:
     """Terciles by quantile of pitch depth per camera, 0 near, 2 far."""
     p = placed(t)
-    cut = p.groupBy("cam").agg(F.percentile("y", F.lit(1 / 3)).alias("a"), F.percentile("y", F.lit(2 / 3)).alias("b"))
+    cut = exact_percentiles(p, ["cam"], {"a": ("y", 1 / 3), "b": ("y", 2 / 3)})
     z = F.when(F.col("y") < F.col("a"), 0).when(F.col("y") < F.col("b"), 1).otherwise(2)
     return p.join(cut, "cam").groupBy("cam", z.alias("zone_tercile")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -306,10 +309,10 @@ def median_mad(t: DataFrame, m_per_px: float = 0.02, least: int = 12) -> DataFra
 def band_normalize(t: DataFrame, bands: int = 8) -> DataFrame:
     """Heights divided by the median of their quantile band of image height: spread and shape per camera."""
     p = t.where("box_h > 0 and fy is not null").select("cam", "fy", "box_h")
-    cuts = p.groupBy("cam").agg(*[F.percentile("fy", F.lit(i / bands)).alias(f"q{i}") for i in range(1, bands)])
+    cuts = exact_percentiles(p, ["cam"], {f"q{i}": ("fy", i / bands) for i in range(1, bands)})
     b = sum(((F.col("fy") >= F.col(f"q{i}")).cast("int") for i in range(1, bands)), F.lit(0))
     banded = p.join(cuts, "cam").select("cam", "box_h", b.alias("band"))
-    med = banded.groupBy("cam", "band").agg(F.median("box_h").alias("m"))
+    med = exact_percentiles(banded, ["cam", "band"], {"m": ("box_h", 0.5)})
     return banded.join(med, ["cam", "band"]).select("cam", (F.col("box_h") / F.col("m")).alias("h")).groupBy("cam").agg(F.count(F.lit(1)).alias("n"), r(F.avg("h"), 4).alias("mean_h"), r(F.stddev_pop("h"), 4).alias("sd_h"))
 
 
@@ -347,9 +350,12 @@ def weighted_occupancy(t: DataFrame, nx: int = 10, ny: int = 6) -> DataFrame:
     return g.select("cam", "ix", "iy", r(F.col("w") / F.max("w").over(Window.partitionBy("cam")), 5).alias("occupancy"))
 
 
+#: Robust extent of a camera's pitch.
+EXTENT = {"x0": ("x", 0.005), "x1": ("x", 0.995), "y0": ("y", 0.005), "y1": ("y", 0.995)}
+
+
 def _extent(p: DataFrame) -> DataFrame:
-    q = lambda c, v: F.percentile(c, F.lit(v))
-    return p.groupBy("cam").agg(q("x", 0.005).alias("x0"), q("x", 0.995).alias("x1"), q("y", 0.005).alias("y0"), q("y", 0.995).alias("y1"))
+    return exact_percentiles(p, ["cam"], EXTENT)
 
 
 def _grid(p: DataFrame, nx: int, ny: int) -> DataFrame:
