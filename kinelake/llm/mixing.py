@@ -41,7 +41,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: float |
 
     mix: doc_id, source, n_tokens, copies (1 to max_repeats) of every document
     used.  shares: source, target_share, max_repeats, n_docs, size (tokens
-    there), docs_used, copies, tokens, share (of the mix's tokens), one row
+    there), binding (all its documents are used as often as allowed, so it limits
+    the total), docs_used, copies, tokens, share (of the mix's tokens), one row
     per listed source.  Documents of unlisted or null sources and documents
     without tokens (null, empty) are never used; a listed source without
     documents has zeros; ``targets`` with repeated sources keep the larger
@@ -64,7 +65,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: float |
     copies = F.floor(F.col("r") * F.col("expected") + start) - F.floor((F.col("r") - 1) * F.col("expected") + start)
     mix = drawn.select("doc_id", "source", "n_tokens", copies.cast("int").alias("copies")).where("copies > 0")
     got = mix.groupBy("source").agg(F.count(F.lit(1)).alias("docs_used"), F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"))
-    shares = plan.select("source", "target_share", "max_repeats", "n_docs", "size").join(got, "source", "left").na.fill(0, ["docs_used", "copies", "tokens"])
+    shares = plan.select("source", "target_share", "max_repeats", "n_docs", "size", ((F.col("size") > 0) & (F.col("expected") >= F.col("max_repeats") - 1e-9)).alias("binding")).join(got, "source", "left").na.fill(0, ["docs_used", "copies", "tokens"])
     total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # over one row per listed source
     shares = shares.withColumn("share", F.when(total > 0, F.col("tokens") / total).otherwise(F.lit(0.0)))
     return mix, shares
